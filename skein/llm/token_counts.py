@@ -1,9 +1,10 @@
 """Token counts without token ids: each distinct pre-token's pieces are counted once, then joined to pre-token frequencies.
 
 The pre-tokenizer is vectorised over code points (``PreTokenizer``): it gives the same pieces as the byte-level pattern of
-the vocabulary file. Documents are read in blocks; a block sends one row per distinct pre-token with postings (the documents'
+the vocabulary file. Documents are read in blocks; a block sends its distinct pre-tokens with postings (the documents'
 places in the block and their frequencies, two bytes each). The postings meet the pre-token's count in a join, go back to
-their block, and a weighted bincount sums them. No row carries token ids.
+their block, and a weighted bincount sums them. Blocks meet pre-tokens by hash bucket, in packed rows: a row for each
+(block, pre-token) was tried and took over twice the input on disk. No row carries token ids.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); special strings of the vocabulary inside a text are one token
 each, as is the library's default; repeated rows each get their own row; an empty table gives an empty result; further
@@ -13,6 +14,7 @@ columns are ignored.
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -208,7 +210,36 @@ def _runs(place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key[at] >> 32, key[at] & 0xFFFFFFFF, np.diff(np.append(at, len(key)))
 
 
-def _postings(shared):
+def _packed(*arrays: np.ndarray | bytes) -> bytes:
+    import zstandard
+
+    raw = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
+    return zstandard.compress(np.array([len(x) for x in raw], np.int64).tobytes() + b"".join(raw), 1)
+
+
+def _unpacked(blob: bytes, n: int) -> list[memoryview]:
+    import zstandard
+
+    raw = memoryview(zstandard.decompress(blob))
+    at = np.concatenate(([8 * n], 8 * n + np.cumsum(np.frombuffer(raw[: 8 * n], np.int64)))).tolist()
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _entries(place: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and numbers as 16-bit arrays, a number above 65535 as several entries; and how many entries each takes."""
+    times = np.maximum(-(-number // 65535), 1)
+    many = np.repeat(np.arange(len(number)), times)
+    last = np.zeros(len(many), bool)
+    last[np.cumsum(times) - 1] = True
+    return place[many].astype(np.uint16), np.where(last, number[many] - (times[many] - 1) * 65535, 65535).astype(np.uint16), times
+
+
+HEADS = "bucket long, block long, blob binary, ids array<long>, sizes array<long>"
+
+
+def _postings(shared, buckets: int):
+    """Per block: a head row with its documents, and for each bucket its distinct pre-tokens with their postings."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -224,90 +255,83 @@ def _postings(shared):
                 distinct, inverse, first = cutter.split([x.decode() for x in raw])
                 at = np.array([known.setdefault(x, len(known)) for x in distinct], np.int64)
                 who = np.repeat(np.arange(row, row + len(raw)), np.diff(first))
-                got = _runs(at[inverse] if len(at) else inverse, who)
-                for to, x in zip((token, text, freq), got, strict=True):
+                for to, x in zip((token, text, freq), _runs(at[inverse] if len(at) else inverse, who), strict=True):
                     to.append(x)
                 row += len(raw)
             token, text, freq = (np.concatenate(x) for x in (token, text, freq))
-            order = np.argsort(token, kind="stable")
-            token, text, freq = token[order], text[order], freq[order]
-            begin = np.searchsorted(token, np.arange(len(known) + 1))
-            # postings: 2 bytes of place, 2 of frequency; a larger frequency is several entries
-            times = -(-freq // 65535)
-            many = np.repeat(np.arange(len(freq)), times)
-            last = np.zeros(len(many), bool)
-            last[np.cumsum(times) - 1] = True
-            entry = np.empty((len(many), 2), np.uint16)
-            entry[:, 0] = text[many]
-            entry[:, 1] = np.where(last, freq[many] - (times[many] - 1) * 65535, 65535)
-            raw = entry.tobytes()
-            cum = np.concatenate(([0], np.cumsum(times)))[begin] * 4
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array([block], pa.int64()),
-                    "token": pa.array([b"\xff%d" % block], pa.binary()),  # no UTF-8 text, so it meets no count
-                    "postings": pa.array([b""], pa.binary()),
-                    "ids": pa.array([ids], pa.list_(pa.int64())),
-                    "sizes": pa.array([sizes], pa.list_(pa.int64())),
-                }
-            )
-            names = list(known)
-            for i in range(0, len(names), 50_000):
-                some = names[i : i + 50_000]
-                bounds = cum[i : i + len(some) + 1]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "block": pa.array([block] * len(some), pa.int64()),
-                        "token": pa.array([x.encode() for x in some], pa.binary()),
-                        "postings": pa.array([raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary()),
-                        "ids": pa.nulls(len(some), pa.list_(pa.int64())),
-                        "sizes": pa.nulls(len(some), pa.list_(pa.int64())),
-                    }
+            names = [x.encode() for x in known]
+            bucket = np.array([zlib.crc32(x) for x in names], np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            token = rank[token]
+            by = np.argsort(token, kind="stable")
+            place, number_of, times = _entries(text[by], freq[by])
+            upto = np.concatenate(([0], np.cumsum(times)))[np.searchsorted(token[by], np.arange(len(names) + 1))]
+            made = [(block % buckets, None, ids, sizes)]
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                mine = [names[i] for i in order[a:b].tolist()]
+                lens, counts = np.array([len(x) for x in mine], np.uint32), np.diff(upto[a : b + 1]).astype(np.uint32)
+                p, q = int(upto[a]), int(upto[b])
+                made.append((int(bucket[order[a]]), _packed(lens, counts, place[p:q], number_of[p:q], b"".join(mine)), None, None))
+            for i in range(0, len(made), 64):
+                some = list(zip(*made[i : i + 64], strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(some[0], pa.int64()),
+                        pa.array([block] * len(some[0]), pa.int64()),
+                        pa.array(some[1], pa.binary()),
+                        pa.array(some[2], pa.list_(pa.int64())),
+                        pa.array(some[3], pa.list_(pa.int64())),
+                    ],
+                    ["bucket", "block", "blob", "ids", "sizes"],
                 )
 
     return run
 
 
-def _distinct(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, seen = shared.value, set()
-        for part in common.chunks(batches):
-            distinct, _, _ = cutter.split([x.decode() for x in common.encoded(part.column("text"))])
-            new = [x for x in distinct if x not in seen]
-            if len(seen) > 300_000:  # a bounded memory of what went out already; the shuffle drops the rest
-                seen.clear()
-            seen.update(new)
-            yield pa.RecordBatch.from_pydict({"token": pa.array([x.encode() for x in new], pa.binary())})
-
-    return run
-
-
 def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 1024) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit."""
+    """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit.
+
+    A pre-token belongs to one bucket, so its pieces are counted once. There are as many buckets as shuffle partitions; a bucket
+    holds its share of all postings, of which one very common pre-token has at most one per document.
+    """
+    spark = docs.sparkSession
     _, special = vocabulary(vocabulary_path)
-    shared = docs.sparkSession.sparkContext.broadcast(PreTokenizer(special))
+    shared = spark.sparkContext.broadcast(PreTokenizer(special))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def count(batches):
-        for b in batches:
-            tokens = b.column("token").to_pylist()
-            yield pa.RecordBatch.from_pydict(
-                {"token": b.column("token"), "pieces": pa.array(piece_counts(vocabulary_path, [x.decode() for x in tokens]), pa.int64())}
-            )
-
-    counts = rows.select("text").mapInArrow(_distinct(shared), "token binary").distinct().mapInArrow(count, "token binary, pieces long")
-    postings = rows.mapInArrow(_postings(shared), "block long, token binary, postings binary, ids array<long>, sizes array<long>")
-    met = postings.join(counts, "token", "left").select("block", "pieces", "postings", "ids", "sizes")
-
-    def total(table: pa.Table) -> pa.Table:
-        head = table.filter(table.column("ids").is_valid()).to_pydict()
-        ids, sizes = head["ids"][0], head["sizes"][0]
-        sums = np.zeros(len(ids), np.int64)
-        for batch in table.filter(table.column("ids").is_null()).to_batches():
-            raw = batch.column("postings")
-            entry = np.frombuffer(b"".join(raw.to_pylist()), np.uint16).reshape(-1, 2)
-            weight = np.repeat(batch.column("pieces").to_numpy(), np.array(pa.compute.binary_length(raw)) // 4)
-            sums += np.bincount(entry[:, 0], weight * entry[:, 1], len(ids)).astype(np.int64)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": sums, "over_limit": sums > limit})
-
+    def join(table):
+        out, counts = [], {}
+        for r in table.to_pylist():
+            if r["blob"] is None:
+                out.append(r)
+                continue
+            lens, entries, place, freq, text = _unpacked(r["blob"], 5)
+            ends = np.cumsum(np.frombuffer(lens, np.uint32), dtype=np.int64)
+            names = [bytes(text[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            new = [x for x in names if x not in counts]
+            counts.update(zip(new, piece_counts(vocabulary_path, [x.decode() for x in new]), strict=True))
+            weight = np.repeat(np.array([counts[x] for x in names], np.int64), np.frombuffer(entries, np.uint32))
+            sums = np.bincount(np.frombuffer(place, np.uint16), weight * np.frombuffer(freq, np.uint16)).astype(np.int64)
+            has = np.flatnonzero(sums)
+            at, number, _ = _entries(has, sums[has])
+            out.append(r | {"blob": _packed(at, number)})
+        return pa.Table.from_pylist(out, table.schema)
+
+    def total(table):
+        head = table.filter(table.column("blob").is_null()).to_pylist()[0]
+        sums = np.zeros(len(head["ids"]), np.int64)
+        for r in table.column("blob").to_pylist():
+            if r is not None:
+                at, number = (np.frombuffer(x, np.uint16) for x in _unpacked(r, 2))
+                sums += np.bincount(at, number, len(sums)).astype(np.int64)
+        return pa.table(
+            {"doc_id": pa.array(head["ids"], pa.int64()), "n_bytes": pa.array(head["sizes"], pa.int64()), "n_tokens": sums, "over_limit": sums > limit}
+        )
+
+    postings = rows.mapInArrow(_postings(shared, buckets), HEADS)
+    met = postings.groupBy("bucket").applyInArrow(join, HEADS)
     return met.groupBy("block").applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
