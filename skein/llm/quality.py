@@ -26,7 +26,7 @@ from . import common
 ACCURACY = 0.02
 MIN_ROWS = 50
 #: Shares below these are never a reason to reject, however clean the rest of a source is.
-FLOORS = {"symbol_share": 0.10, "dup_line_share": 0.30, "word_length": 15.0}
+FLOORS = {"symbol_share": 0.05, "dup_line_share": 0.50, "word_length": 15.0}
 SPREAD = 6.0  # fence: median + SPREAD * (upper quartile - median), and no less than the floor
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
