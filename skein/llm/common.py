@@ -147,3 +147,34 @@ def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
             got = w[np.minimum(here, max(len(w) - 1, 0))] if len(w) else np.zeros(total, np.uint64)
             h = h * np.uint64(0xD6E8FEB86659FD93) + np.where(ok, got, np.uint64(0x1234567))
     return mix(h), out_first
+
+
+def packed(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays and bytes in one compressed row value."""
+    import zstandard
+
+    raw = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
+    return zstandard.compress(np.array([len(x) for x in raw], np.int64).tobytes() + b"".join(raw), 1)
+
+
+def unpacked(blob: bytes, n: int) -> list[memoryview]:
+    import zstandard
+
+    raw = memoryview(zstandard.decompress(blob))
+    at = np.concatenate(([8 * n], 8 * n + np.cumsum(np.frombuffer(raw[: 8 * n], np.int64)))).tolist()
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def with_row_id(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row id ``rid`` that is the same in every evaluation.
+
+    Rows of files keep their partition and place, whatever columns are read. Any other plan could deal its rows out anew, so it is
+    written once to the shared folder first.
+    """
+    from pyspark.sql import functions as F
+
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {line.lstrip(" :+-").split(" ")[0].split("(")[0] for line in plan.splitlines() if line.strip()}
+    if not nodes <= {"Project", "Filter", "Relation"}:
+        docs = cut(docs)
+    return docs.withColumn("rid", F.monotonically_increasing_id())

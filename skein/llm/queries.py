@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, langid, packing, quality, token_counts, toxicity
+from . import chat, decontaminate, extract, langid, ngram_join, packing, quality, token_counts, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(_read(spark, sf_dir, "documents")).drop("rid")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found)
@@ -53,6 +57,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_decontamination, op3_language_id, op5_chat_formatting, op6_html_extraction, op7_quality_rules, op8_packing, op9_toxicity, op10_token_counts)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_decontamination, op3_language_id, op5_chat_formatting, op6_html_extraction, op7_quality_rules, op8_packing, op9_toxicity, op10_token_counts)
 }
 ORACLE_SQL: dict[str, str] = {}

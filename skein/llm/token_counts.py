@@ -210,21 +210,6 @@ def _runs(place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key[at] >> 32, key[at] & 0xFFFFFFFF, np.diff(np.append(at, len(key)))
 
 
-def _packed(*arrays: np.ndarray | bytes) -> bytes:
-    import zstandard
-
-    raw = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
-    return zstandard.compress(np.array([len(x) for x in raw], np.int64).tobytes() + b"".join(raw), 1)
-
-
-def _unpacked(blob: bytes, n: int) -> list[memoryview]:
-    import zstandard
-
-    raw = memoryview(zstandard.decompress(blob))
-    at = np.concatenate(([8 * n], 8 * n + np.cumsum(np.frombuffer(raw[: 8 * n], np.int64)))).tolist()
-    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
 def _entries(place: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places and numbers as 16-bit arrays, a number above 65535 as several entries; and how many entries each takes."""
     times = np.maximum(-(-number // 65535), 1)
@@ -274,7 +259,7 @@ def _postings(shared, buckets: int):
                 mine = [names[i] for i in order[a:b].tolist()]
                 lens, counts = np.array([len(x) for x in mine], np.uint32), np.diff(upto[a : b + 1]).astype(np.uint32)
                 p, q = int(upto[a]), int(upto[b])
-                made.append((int(bucket[order[a]]), _packed(lens, counts, place[p:q], number_of[p:q], b"".join(mine)), None, None))
+                made.append((int(bucket[order[a]]), common.packed(lens, counts, place[p:q], number_of[p:q], b"".join(mine)), None, None))
             for i in range(0, len(made), 64):
                 some = list(zip(*made[i : i + 64], strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -309,7 +294,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 1024) -> Da
             if r["blob"] is None:
                 out.append(r)
                 continue
-            lens, entries, place, freq, text = _unpacked(r["blob"], 5)
+            lens, entries, place, freq, text = common.unpacked(r["blob"], 5)
             ends = np.cumsum(np.frombuffer(lens, np.uint32), dtype=np.int64)
             names = [bytes(text[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             new = [x for x in names if x not in counts]
@@ -318,7 +303,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 1024) -> Da
             sums = np.bincount(np.frombuffer(place, np.uint16), weight * np.frombuffer(freq, np.uint16)).astype(np.int64)
             has = np.flatnonzero(sums)
             at, number, _ = _entries(has, sums[has])
-            out.append(r | {"blob": _packed(at, number)})
+            out.append(r | {"blob": common.packed(at, number)})
         return pa.Table.from_pylist(out, table.schema)
 
     def total(table):
@@ -326,7 +311,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 1024) -> Da
         sums = np.zeros(len(head["ids"]), np.int64)
         for r in table.column("blob").to_pylist():
             if r is not None:
-                at, number = (np.frombuffer(x, np.uint16) for x in _unpacked(r, 2))
+                at, number = (np.frombuffer(x, np.uint16) for x in common.unpacked(r, 2))
                 sums += np.bincount(at, number, len(sums)).astype(np.int64)
         return pa.table(
             {"doc_id": pa.array(head["ids"], pa.int64()), "n_bytes": pa.array(head["sizes"], pa.int64()), "n_tokens": sums, "over_limit": sums > limit}
