@@ -169,7 +169,8 @@ def _joined(source: DataFrame, n: int, threshold: float, bands: int, rows: int)
             own = [np.unique(h[a:b]).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("g", "rep", "block", "blocks")], pa.array(own, pa.binary())], ["g", "rep", "block", "blocks", "grams"])
 
-    with_sets = source.select("rid", "text").join(member, F.col("rid") == F.col("rep")).select("g", "rep", "block", "blocks", "text")
+    # one plan at every size: texts move once, whether or not the members would fit a broadcast today
+    with_sets = source.select("rid", "text").hint("merge").join(member, F.col("rid") == F.col("rep")).select("g", "rep", "block", "blocks", "text")
     with_sets = with_sets.mapInArrow(sets, "g long, rep long, block int, blocks int, grams binary")
     pairs = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "grams"
