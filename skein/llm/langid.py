@@ -31,6 +31,7 @@ LONGEST_WORD = 40  # longer words take a rescaled forward pass of their own
 UNKNOWN = 1e-6  # probability of a character that no piece holds, in every language
 SMOOTHING = 0.1
 MIN_SCORE = 0.5  # under it, ``accepted`` rejects a text
+E_STEP_WORDS = 60_000  # distinct words of a language that an expectation step takes at once
 FLUSH = 200_000  # distinct (language, word) pairs that a worker holds
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -247,13 +248,23 @@ def learn(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> Model:
         def estimate(batches, now=now):
             known, p = now.value
             total = np.zeros_like(p)
-            for b in batches:
-                lang = np.array(b.column("lang").to_pylist(), object)
-                word, n = b.column("word").to_pylist(), b.column("n").to_numpy()
-                for k, name in enumerate(known):
-                    at = np.flatnonzero(lang == name)
-                    if len(at):
-                        total[:, k] += expected(shared.value, p[:, k], [word[i] for i in at.tolist()], n[at].astype(float))
+            held: dict[str, tuple[list, list]] = {x: ([], []) for x in known}
+
+            def take(name):
+                some, times = held[name]
+                if some:
+                    total[:, known.index(name)] += expected(shared.value, p[:, known.index(name)], some, np.array(times, float))
+                held[name] = ([], [])
+
+            for b in batches:  # words meet in large groups: the passes work on all words of one length at once
+                for lang, w, n in zip(b.column("lang").to_pylist(), b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
+                    held[lang][0].append(w)
+                    held[lang][1].append(n)
+                for name in known:
+                    if len(held[name][0]) >= E_STEP_WORDS:
+                        take(name)
+            for name in known:
+                take(name)
             i, k = np.nonzero(total)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(i, pa.int32()), "k": pa.array(k, pa.int32()), "n": pa.array(np.round(total[i, k] * 1024).astype(np.int64))})
 
