@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.streaming.signals import Cascade
+
 
 def next_hop(hops: DataFrame) -> DataFrame:
     """seq, next_seq: the earliest hop sent by the receiver at or after a hop, ties by seq. As-of by one shuffle on the agent: arrivals and
@@ -20,3 +25,40 @@ def next_hop(hops: DataFrame) -> DataFrame:
 def goal_drift(hops: DataFrame) -> DataFrame:
     """Per team: derivations that land on it, a tenth each, at most 1."""
     return hops.groupBy("gate_id", "team").agg(F.least(F.lit(1.0), F.count_if(F.col("derived")) / 10).alias("goal_drift"))
+
+
+CHAINS = "gate_id string, team string, n_chains bigint, n_deceptive bigint, max_length bigint, score double"
+
+
+def chains(hops: DataFrame) -> DataFrame:
+    """Per team, over (gate_id, team, seq, sender, receiver, ts, safety_label, transforms, derived, injected): greedy chains, deceptive ones, the
+    longest, and the family's score. Who was met decides where a chain goes on, so a team's hops (and no more) are one task's state."""
+    cols = [*("gate_id", "team", "seq", "sender", "receiver", "ts", "safety_label", "transforms", "derived", "injected")]
+
+    def close(key, found, who):
+        met = list(found.chains(who))
+        return (*key, len(met), sum(found.deceptive(a, h) for a, h in met), max((len(h) for _, h in met), default=0), found.score(who) if len(who) > 1 else 0.0)
+
+    def fold(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, found, who = None, None, set()
+        for chunk in chunks:
+            out = []
+            for x in chunk.itertuples(index=False):
+                if found is None or (x.gate_id, x.team) != key:
+                    if found is not None:
+                        out.append(close(key, found, who))
+                    key, found, who = (x.gate_id, x.team), Cascade(), set()
+                found.hop(x.sender, x.receiver, x.ts, x.safety_label, x.transforms, x.derived)
+                if x.injected:
+                    found.injected[x.sender] += 1
+                who |= {x.sender, x.receiver}
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHAINS.split(", ")])
+        if found is not None:
+            yield pd.DataFrame([close(key, found, who)], columns=[c.split()[0] for c in CHAINS.split(", ")])
+
+    return hops.select(*cols).repartition("gate_id", "team").sortWithinPartitions("gate_id", "team", "seq").mapInPandas(fold, CHAINS)
+
+
+def risk(deceptive: Column, longest: Column, injections: Column, drift: Column, n: Column) -> Column:
+    by_length = F.when(longest >= 5, 0.2).when(longest >= 3, 0.1).otherwise(0.0)
+    return F.least(F.lit(1.0), F.least(F.lit(0.5), 0.2 * deceptive) + by_length + F.least(F.lit(0.3), 0.15 * injections) + 0.2 * drift + F.when(n > 5, 0.1).otherwise(0.0))

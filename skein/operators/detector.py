@@ -37,16 +37,22 @@ def alive_intervals(m: DataFrame, window: float = config.TEAM_WINDOW) -> DataFra
     )
 
 
-def teams(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
+def teams(pairs: DataFrame) -> DataFrame:
     """gate_id, agent, team: components of the pairs, named by their least agent. Labels spread by joins until none changes; each
     round is cut from its lineage by a checkpoint in the shared folder."""
     both = pairs.select("gate_id", F.col("a").alias("agent"), F.col("b").alias("peer")).unionByName(pairs.select("gate_id", F.col("b").alias("agent"), F.col("a").alias("peer")))
     both = both.checkpoint()
     labels = both.groupBy("gate_id", "agent").agg(F.least("agent", F.min("peer")).alias("team")).checkpoint()
-    for _ in range(most_rounds):
+    while True:
         seen = both.join(labels.select("gate_id", F.col("agent").alias("peer"), F.col("team").alias("t")), ["gate_id", "peer"]).groupBy("gate_id", "agent").agg(F.min("t").alias("t"))
         spread = labels.join(seen, ["gate_id", "agent"]).select("gate_id", "agent", F.least("team", "t").alias("team"), (F.col("t") < F.col("team")).alias("moved")).checkpoint()
         labels = spread.drop("moved")
         if spread.filter("moved").isEmpty():
-            break
-    return labels
+            return labels
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """``left`` with the value of the latest row of ``right`` of its key at or before it: both sides in one order per key, no range join."""
+    w = Window.partitionBy(key).orderBy(at, "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = right.select(key, at, value, F.lit(0).alias("kind")).unionByName(left.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    return rows.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("kind = 1").drop("kind")

@@ -35,3 +35,8 @@ def safety_class(capabilities: Column) -> Column:
         pair = pair | has(p)
     many = F.size(F.array_intersect(F.array(*map(F.lit, config.HIGH_RISK)), capabilities)) >= config.HIGH_RISK_THRESHOLD
     return F.when(many, "HIGH_RISK").when(pair, "RESTRICTED").otherwise("STANDARD")
+
+
+def risk(laundered: Column, beyond: Column, capabilities: Column, members: Column) -> Column:
+    """The concentration term of the known behaviour is always 0 and left out."""
+    return F.least(F.lit(0.4), 0.15 * laundered) + F.least(F.lit(0.3), 0.1 * beyond) + F.when(capabilities / members > 3, 0.15).otherwise(0.0)

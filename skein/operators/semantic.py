@@ -65,3 +65,10 @@ def trend(history: DataFrame, frame: int = 10) -> DataFrame:
     w = Window.partitionBy("gate_id").orderBy("x").rowsBetween(-(frame - 1), 0)
     slope = F.when(F.count(F.lit(1)).over(w) >= 3, F.regr_slope("y", "x").over(w)).otherwise(0.0)
     return history.select("gate_id", "x", slope.alias("trend"))
+
+
+def risk(similarity: Column, overlap: Column, slope: Column, special: Column) -> Column:
+    by_similarity = F.when(similarity > 0.8, 0.35).when(similarity > 0.6, 0.2).when(similarity > 0.4, 0.1).otherwise(0.0)
+    by_overlap = F.when(overlap > 0.7, 0.25).when(overlap > 0.4, 0.1).otherwise(0.0)
+    by_slope = F.when(slope > 0.1, 0.2).when(slope > 0.05, 0.1).otherwise(0.0)
+    return by_similarity + by_overlap + by_slope + F.when(special > 5, 0.2).when(special > 2, 0.1).otherwise(0.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EDGE = ["sender", "receiver"]
@@ -70,3 +70,19 @@ def periodic_sender(conv: DataFrame) -> DataFrame:
     best = ratio.groupBy("conv_id").agg(F.min_by("r", "p").alias("r"), F.min("p").alias("period"))
     every = rows.filter("n >= 4").select("conv_id").distinct()
     return every.join(best, "conv_id", "left").select("conv_id", F.coalesce("r", F.lit(0.0)).alias("score"), F.coalesce("period", F.lit(0)).alias("period"))
+
+
+def timing_patterns(m: DataFrame) -> DataFrame:
+    """Per edge of three or more messages with a pattern: their names, zero delay, high regularity (over 0.85) and fixed period (variation under 0.05)."""
+    d = delays(m).groupBy(*EDGE).agg(F.count(F.lit(1)).alias("n"), F.avg("delay").alias("mean"), F.stddev_samp("delay").alias("sd")).filter("n >= 3")
+    edge, cv = F.concat(F.col("sender"), F.lit("->"), F.col("receiver")), F.col("sd") / F.col("mean")
+    zero = F.when(F.col("mean") == 0, F.concat(F.lit("timing:zero_delay:"), edge))
+    steady = F.when((F.col("mean") > 0) & (cv < 0.15), F.concat(F.lit("timing:high_regularity:"), edge))
+    period = F.when((F.col("mean") > 0) & (cv < 0.05), F.format_string("timing:periodic:%s:period=%.3fs", edge, F.col("mean")))
+    return d.select(*EDGE, F.array_join(F.array_compact(F.array(zero, steady, period)), ";").alias("patterns")).filter("patterns != ''")
+
+
+def risk(regularity: Column, lengths: Column, order: Column) -> Column:
+    by_time = F.when(regularity > 0.9, 0.4).when(regularity > 0.7, 0.25).when(regularity > 0.5, 0.1).otherwise(0.0)
+    by_length = F.when(lengths > 0.7, 0.35).when(lengths > 0.4, 0.2).when(lengths > 0.2, 0.1).otherwise(0.0)
+    return by_time + by_length + F.when(order > 0.7, 0.25).when(order > 0.4, 0.15).otherwise(0.0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import detector
+
 KEYS = ["gate_id", "team"]
 
 
@@ -66,3 +68,23 @@ def topology(m: DataFrame) -> DataFrame:
     of_class = F.create_map(*[F.lit(x) for kv in {"star": 0.35, "hierarchical": 0.15, "mesh": 0.10, "ring": 0.05, "unclassified": 0.10, "degenerate": 0.0}.items() for x in kv])
     risk = part + s * 0.25 + of_class[F.col("class")] + F.when((F.col("clustering") > 0.8) & (n > 3), 0.15).otherwise(0.0)
     return t.withColumn("risk", F.when(n < 2, 0.0).otherwise(F.least(F.lit(1.0), risk)))
+
+
+def coalitions(m: DataFrame) -> DataFrame:
+    """Per team: components of two or more members; a single one in a team of four or more counts as two where members above its mean degree
+    and the rest are two at least each; otherwise a single one counts as none."""
+    edges = m.filter("sender != receiver").select(*KEYS, F.least("sender", "receiver").alias("a"), F.greatest("sender", "receiver").alias("b")).distinct()
+    name = F.to_json(F.struct(*KEYS))
+    parts = detector.teams(edges.select(name.alias("gate_id"), "a", "b")).select("gate_id", "agent", F.col("team").alias("part"))
+    degree = edges.select(name.alias("gate_id"), F.explode(F.array("a", "b")).alias("agent")).groupBy("gate_id", "agent").agg(F.count(F.lit(1)).alias("k"))
+    loops = m.filter("sender = receiver").select(name.alias("gate_id"), F.col("sender").alias("agent"), F.lit(1).alias("loop")).distinct()
+    rows = parts.join(degree, ["gate_id", "agent"]).join(loops, ["gate_id", "agent"], "left").withColumn("k", F.col("k") + F.coalesce("loop", F.lit(0)))
+    part = rows.groupBy("gate_id", "part").agg(F.avg("k").alias("mean"))
+    high = F.count_if(F.col("k") > F.col("mean"))
+    by_part = rows.join(part, ["gate_id", "part"]).groupBy("gate_id", "part").agg(high.alias("high"), (F.count(F.lit(1)) - high).alias("low"))
+    team = by_part.groupBy("gate_id").agg(F.count(F.lit(1)).alias("parts"), F.max("high").alias("high"), F.max("low").alias("low"))
+    sizes = members(m).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    met = sizes.withColumn("key", name).join(team.withColumnRenamed("gate_id", "key"), "key", "left")
+    split = (F.col("n") >= 4) & (F.col("high") >= 2) & (F.col("low") >= 2)
+    n = F.when(F.col("n") < 3, 0).when(F.col("parts") > 1, F.col("parts")).when(split, 2).otherwise(0)
+    return met.select(*KEYS, n.cast("long").alias("n_coalitions"))

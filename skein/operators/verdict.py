@@ -43,3 +43,23 @@ def token_bucket(m: DataFrame, capacity: float = config.THROTTLE_CAPACITY, refil
     g = m.groupBy("sender", "receiver").agg(F.array_sort(F.collect_list(F.struct("seq", "ts"))).alias("x"))
     passed = F.aggregate("x", start, step)["passed"]
     return g.select("sender", "receiver", passed.alias("passed"), (F.size("x") - passed).alias("refused"))
+
+
+def policy(capabilities: Column, scores: dict[str, Column], policies: list[dict]) -> Column:
+    """The most severe of what active policies ask for: ISOLATE where a blocked capability is held, a family's minimum where its score is over
+    a half. Policies are configuration: they become literals of the plan."""
+    asked = [F.lit("ALLOW")]
+    for p in policies:
+        if not p.get("active", True):
+            continue
+        if p.get("blocked_capabilities"):
+            held = F.arrays_overlap(capabilities, F.array(*map(F.lit, p["blocked_capabilities"])))
+            asked.append(F.when(F.coalesce(held, F.lit(False)), "ISOLATE").otherwise("ALLOW"))
+        for family, least in (p.get("signal_minimums") or {}).items():
+            if family in scores:
+                asked.append(F.when(scores[family] > 0.5, least).otherwise("ALLOW"))
+    return worst(asked) if len(asked) > 1 else asked[0]
+
+
+def safety_minimum(safety: Column) -> Column:
+    return F.when(safety == "HIGH_RISK", "THROTTLE").when(safety == "RESTRICTED", "WARN").otherwise("ALLOW")

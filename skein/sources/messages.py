@@ -81,6 +81,36 @@ def wrap_response(rpc_id: Column, result: Column, verdict: Column) -> Column:
     return F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), rpc_id.alias("id"), F.struct(result.alias("value"), F.struct(verdict.alias("verdict")).alias("metadata")).alias("result")))
 
 
+def wrap_tool_result(result: Column, verdict: Column, warnings: Column) -> Column:
+    """A tool's result with the verdict beside it; no warnings, no field."""
+    about = F.struct(verdict.alias("verdict"), F.when(F.size(warnings) > 0, warnings).alias("warnings"))
+    return F.to_json(F.struct(result.alias("value"), about.alias("_skein")))
+
+
+def mcp(raw: Column, sender: str = "unknown", receiver: str = "unknown", caller: Column | None = None) -> list[Column]:
+    """sender, receiver, payload, tool, session and task of a tool call. A call's own context hides the caller's."""
+    context = F.coalesce(F.get_json_object(raw, "$.context"), caller if caller is not None else F.lit(None).cast("string"), F.lit("{}"))
+    arguments = F.coalesce(F.get_json_object(raw, "$.arguments"), F.lit("{}"))
+    first = lambda of, names: [_at(of, f"$.{n}") for n in names]
+    return [
+        F.coalesce(*first(context, ("caller_agent_id", "agent_id", "sender_id")), *first(arguments, ("sender_id",)), F.lit(sender)).alias("sender"),
+        F.coalesce(*first(arguments, ("target_agent", "target_agent_id", "receiver_id", "to", "agent_id")), F.lit(receiver)).alias("receiver"),
+        F.coalesce(*first(arguments, ("message", "content", "payload", "text")), arguments).alias("payload"),
+        F.coalesce(F.get_json_object(raw, "$.tool"), F.lit("")).alias("tool"),
+        _at(context, "$.session_id").alias("session_id"),
+        _at(arguments, "$.task_id").alias("task_id"),
+    ]
+
+
+def grpc_metadata(sender: Column, receiver: Column, task_id: Column, extra: Column) -> Column:
+    """The header pairs of a message, in order: ids, the task where there is one, then others."""
+    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    task = F.when(F.coalesce(task_id, F.lit("")) != "", F.array(pair(F.lit("x-a2a-task-id"), task_id)))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    ids = F.array(pair(F.lit("x-a2a-sender-agent-id"), sender), pair(F.lit("x-a2a-receiver-agent-id"), receiver))
+    return F.concat(ids, F.coalesce(task, none), F.coalesce(F.map_entries(extra), none))
+
+
 def member_capabilities(events: DataFrame, least: int = 1) -> DataFrame:
     """agent, capability, n: event types stand for capabilities."""
     m = messages(events)

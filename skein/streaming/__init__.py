@@ -1 +1 @@
-"""Streaming of skein."""
+"""The stateful gate and its replay over tables and streams."""
