@@ -51,7 +51,8 @@ def replay(df: DataFrame, settings: config.Settings | None = None) -> DataFrame:
                 found += _feed(gate, part)
             yield _table(found)
 
-    dealt = rows(df).repartition("gate_id").sortWithinPartitions("gate_id", "seq", "kind", "sender", "receiver", "payload")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small rows aren't put into one task again: a message costs far more than its bytes
+    dealt = rows(df).repartition(n, "gate_id").sortWithinPartitions("gate_id", "seq", "kind", "sender", "receiver", "payload")
     return dealt.mapInPandas(fold, SCHEMA)
 
 
