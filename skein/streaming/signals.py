@@ -190,6 +190,7 @@ class Edge:
         self.even += length % 2 == 0
         for m in MODULI:
             self.left[m][length % m] += 1
+        self.found = self.regularity(), self.flags()  # asked for at every message of a team, changed only here
 
     def regularity(self) -> float | None:
         n = len(self.times) - 1
@@ -240,8 +241,8 @@ class SideChannel:
         edges = [e for s in sorted(members) for r, e in sorted(self.edges.get(s, {}).items()) if r in members]
         if not edges:
             return 0.0
-        steady = [x for e in edges if (x := e.regularity()) is not None]
-        flags = [x for e in edges for x in e.flags()]
+        steady = [x for e in edges if (x := e.found[0]) is not None]
+        flags = [x for e in edges for x in e.found[1]]
         timing = sum(steady) / len(steady) if steady else 0.0
         length = sum(flags) / len(flags) if flags else 0.0
         risk = step(timing, (0.9, 0.4), (0.7, 0.25), (0.5, 0.1)) + step(length, (0.7, 0.35), (0.4, 0.2), (0.2, 0.1))
