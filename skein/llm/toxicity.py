@@ -57,6 +57,14 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each row to the row of ``total`` that ``at`` names; equal ones add up."""
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        own, first = np.unique(at[order], return_index=True)
+        total[own] += np.add.reduceat(rows[order], first)
+
+
 class Network:
     """Parameters in ``p``; ``forward`` keeps what ``backward`` needs."""
 
@@ -121,23 +129,27 @@ class Network:
         dh = dh + du @ p["wa"].T
         dx = np.zeros_like(x)
         late = [np.zeros((at.shape[0], HIDDEN), np.float32) for _ in range(2)]
+        dgates = np.empty((2, *at.T.shape, 3 * HIDDEN), np.float32)
         for s, i, h, z, r, c, qn in reversed(kept):
             side, m = "fb"[s], mask[:, i : i + 1]
             now = late[s] + dh[i, :, s * HIDDEN : (s + 1) * HIDDEN]
             dc = now * m * (1 - z) * (1 - c * c)
             dz = now * m * (h - c) * z * (1 - z)
             dr = dc * qn * r * (1 - r)
-            dg = np.concatenate((dz, dr, dc), 1)
+            dgates[s, i] = np.concatenate((dz, dr, dc), 1)
             dq = np.concatenate((dz, dr, dc * r), 1)
             g["u" + side] += h.T @ dq
-            g["b" + side] += dg.sum(0)
-            xi = x[at[:, i]]
-            g["w" + side] += xi.T @ dg
-            np.add.at(dx, at[:, i], dg @ p["w" + side].T)
             late[s] = now * (1 - m * (1 - z)) + dq @ p["u" + side].T
+        places = at.T.ravel()
+        for s, side in enumerate("fb"):  # the places of a word share its input: their gate gradients are summed once per word
+            sums = np.zeros((len(x), 3 * HIDDEN), np.float32)
+            _add_rows(sums, places, dgates[s].reshape(-1, 3 * HIDDEN))
+            g["b" + side] += sums.sum(0)
+            g["w" + side] += x.T @ sums
+            dx += sums @ p["w" + side].T
         ids, grams, n = extra
-        np.add.at(g["word"], ids, dx[1:, :WORD_DIM])
-        np.add.at(g["char"], grams, np.repeat(dx[1:, WORD_DIM:] / n[:, None], n, 0))
+        _add_rows(g["word"], ids, dx[1:, :WORD_DIM])
+        _add_rows(g["char"], grams, np.repeat(dx[1:, WORD_DIM:] / n[:, None], n, 0))
         return g
 
     def logits(self, texts: list[list[str]]) -> list[np.ndarray]:
