@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, langid, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity
+from . import chat, decontaminate, extract, langid, ngram_join, oracle, packing, quality, suffix_dedup, token_counts, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -63,4 +63,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (op1_ngram_jaccard_join, op2_decontamination, op3_language_id, op4_suffix_dedup, op5_chat_formatting, op6_html_extraction, op7_quality_rules, op8_packing, op9_toxicity, op10_token_counts)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": oracle.DECONTAMINATION}
