@@ -1,5 +1,9 @@
 """DuckDB SQL for the corpus operators that SQL can express."""
 
+import math
+
+from . import quality
+
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 DECONTAMINATION = f"""
@@ -25,3 +29,58 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit,
     sha256(coalesce(l.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN hit h ON d.rid = h.rid LEFT JOIN listed l ON d.rid = l.rid
 """
+
+_GAMMA = (1 + quality.ACCURACY) / (1 - quality.ACCURACY)
+_FLOORS = ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in quality.FLOORS.items())
+
+
+def _fences(name: str, keys: str) -> str:
+    """Quantiles of the grid buckets of each group and measure."""
+    return f"""
+{name} AS (
+    SELECT {keys} measure, max(total) AS n_rows, min(CASE WHEN upto >= ceil(total * 0.5) THEN v END) AS q50, min(CASE WHEN upto >= ceil(total * 0.75) THEN v END) AS q75
+    FROM (
+        SELECT {keys} measure, CASE WHEN bucket IS NULL THEN 0.0::DOUBLE ELSE pow({_GAMMA!r}::DOUBLE, bucket) * {2 / (_GAMMA + 1)!r}::DOUBLE END AS v,
+            sum(n) OVER (PARTITION BY {keys} measure ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY {keys} measure) AS total
+        FROM (SELECT {keys} measure, bucket, count(*) AS n FROM buckets GROUP BY {keys} measure, bucket)
+    ) GROUP BY {keys} measure
+)"""
+
+
+QUALITY = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+    FROM documents
+),
+grams AS (SELECT rid, i, array_to_string(w[i : i + 4], ' ') AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM docs)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM grams) WHERE n > 1),
+repeats AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM again) GROUP BY rid),
+measured AS (
+    SELECT d.rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+    FROM docs d LEFT JOIN repeats r ON d.rid = r.rid
+),
+shares AS (
+    SELECT rid, lang, source, 'symbol_share' AS measure, n_symbols / CAST(greatest(word_chars, 1) AS DOUBLE) AS x FROM measured
+    UNION ALL SELECT rid, lang, source, 'dup_line_share', n_dup_lines / CAST(greatest(n_lines, 1) AS DOUBLE) FROM measured
+    UNION ALL SELECT rid, lang, source, 'word_length', word_chars / CAST(greatest(n_words, 1) AS DOUBLE) FROM measured
+),
+buckets AS (SELECT lang, source, measure, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / {math.log(_GAMMA)!r}::DOUBLE) AS INT) END AS bucket FROM shares),
+{_fences("fine", "lang, source,")}, {_fences("by_lang", "lang,")}, {_fences("whole", "")},
+floors(measure, least_fence) AS (VALUES {_FLOORS}),
+picked AS (
+    SELECT f.lang, f.source, f.measure, p.least_fence,
+        CASE WHEN f.n_rows >= {quality.MIN_ROWS} THEN f.q50 WHEN l.n_rows >= {quality.MIN_ROWS} THEN l.q50 ELSE a.q50 END AS q50,
+        CASE WHEN f.n_rows >= {quality.MIN_ROWS} THEN f.q75 WHEN l.n_rows >= {quality.MIN_ROWS} THEN l.q75 ELSE a.q75 END AS q75
+    FROM fine f JOIN by_lang l ON f.lang IS NOT DISTINCT FROM l.lang AND f.measure = l.measure JOIN whole a ON f.measure = a.measure JOIN floors p ON f.measure = p.measure
+),
+verdict AS (
+    SELECT s.rid, bool_and(s.x <= greatest(p.least_fence, p.q50 + {quality.SPREAD!r}::DOUBLE * (p.q75 - p.q50))) AS inside
+    FROM shares s JOIN picked p ON s.measure = p.measure AND s.lang IS NOT DISTINCT FROM p.lang AND s.source IS NOT DISTINCT FROM p.source GROUP BY s.rid
+),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND v.inside AS kept
+FROM based b JOIN verdict v ON b.rid = v.rid
+"""

@@ -63,4 +63,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (op1_ngram_jaccard_join, op2_decontamination, op3_language_id, op4_suffix_dedup, op5_chat_formatting, op6_html_extraction, op7_quality_rules, op8_packing, op9_toxicity, op10_token_counts)
 }
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": oracle.DECONTAMINATION}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": oracle.DECONTAMINATION, "op7_quality_rules": oracle.QUALITY}
