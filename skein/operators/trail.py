@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +20,25 @@ def entry_hash(prev: Column, body: Column) -> Column:
 
 
 def build(entries: DataFrame) -> DataFrame:
-    """gate_id, seq, body, prev_hash, entry_hash. A chain is sequential by nature: one fold per gate."""
-    start = F.struct(genesis().alias("h"), F.expr("cast(array() as array<struct<seq:bigint,body:string,prev_hash:string,entry_hash:string>>)").alias("rows"))
-
-    def step(a, x):
-        h = entry_hash(a["h"], x["body"])
-        row = F.struct(x["seq"].alias("seq"), x["body"].alias("body"), a["h"].alias("prev_hash"), h.alias("entry_hash"))
-        return F.struct(h.alias("h"), F.array_append(a["rows"], row).alias("rows"))
-
-    g = entries.groupBy("gate_id").agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("x"))
-    return g.select("gate_id", F.explode(F.aggregate("x", start, step)["rows"]).alias("r")).select("gate_id", "r.*")
+    """gate_id, seq, body, prev_hash, entry_hash. A chain is sequential by nature: one pass over each gate's sorted entries, which holds the last
+    hash only (a fold that appends to an array copies the chain for every entry)."""
+    first = hashlib.sha256(GENESIS.encode()).hexdigest()
+
+    def run(batches):
+        gate, last, begun = None, first, False
+        for part in batches:
+            gates, before, after = part.column("gate_id").to_pylist(), [], []
+            for g, body in zip(gates, part.column("body").to_pylist(), strict=True):
+                if not begun or g != gate:
+                    gate, last, begun = g, first, True
+                before.append(last)
+                last = hashlib.sha256((last if body is None else f"{last}|{body}").encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], [*part.schema.names, "prev_hash", "entry_hash"])
+
+    rows = entries.select(F.col("gate_id").cast("string").alias("gate_id"), F.col("seq").cast("long").alias("seq"), F.col("body").cast("string").alias("body"))
+    in_order = rows.repartition("gate_id").sortWithinPartitions("gate_id", "seq", "body")
+    return in_order.mapInArrow(run, "gate_id string, seq long, body string, prev_hash string, entry_hash string")
 
 
 def validate(chain: DataFrame) -> DataFrame:

@@ -421,8 +421,8 @@ def throttle_token_bucket(spark, d):
 
 
 def _entries(spark, d):
-    """One trail entry per message of the first team of each gate."""
-    return _messages(spark, d).filter("team = 't0'").select("gate_id", "seq", F.concat_ws(":", "event_type", "sender", "receiver").alias("body"))
+    """One trail entry per message of each gate."""
+    return _messages(spark, d).select("gate_id", "seq", F.concat_ws(":", "event_type", "sender", "receiver").alias("body"))
 
 
 CHAIN = f"""{MSG}, ent AS (SELECT gate_id, seq, event_type || ':' || sender || ':' || receiver AS body, row_number() OVER (PARTITION BY gate_id ORDER BY seq) AS i FROM msg WHERE team = 't0'),
