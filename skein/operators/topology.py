@@ -52,8 +52,8 @@ def clustering(m: DataFrame) -> DataFrame:
 
 
 def topology(m: DataFrame) -> DataFrame:
-    """All measures, the class and the risk of each team (one component: no coalition inside)."""
-    t = density(m).join(degree_stats(m), KEYS).join(clustering(m), KEYS)
+    """All measures, the class, the number of coalitions and the risk of each team."""
+    t = density(m).join(degree_stats(m), KEYS).join(clustering(m), KEYS).join(coalitions(m), KEYS)
     d, s, n = F.col("density"), F.col("degree_skew"), F.col("n")
     kind = (
         F.when(n < 2, "degenerate")
@@ -67,6 +67,8 @@ def topology(m: DataFrame) -> DataFrame:
     part = F.when(d > 0.85, 0.25).when((d < 0.15) & (n > 2), 0.15).otherwise(0.0)
     of_class = F.create_map(*[F.lit(x) for kv in {"star": 0.35, "hierarchical": 0.15, "mesh": 0.10, "ring": 0.05, "unclassified": 0.10, "degenerate": 0.0}.items() for x in kv])
     risk = part + s * 0.25 + of_class[F.col("class")] + F.when((F.col("clustering") > 0.8) & (n > 3), 0.15).otherwise(0.0)
+    c = F.col("n_coalitions")
+    risk = risk + F.when(c > 1, F.least(F.lit(0.3), 0.15 * c)).otherwise(0.0)
     return t.withColumn("risk", F.when(n < 2, 0.0).otherwise(F.least(F.lit(1.0), risk)))
 
 
