@@ -31,6 +31,7 @@ LONGEST_WORD = 40  # longer words take a rescaled forward pass of their own
 UNKNOWN = 1e-6  # probability of a character that no piece holds, in every language
 SMOOTHING = 0.1
 MIN_SCORE = 0.5  # under it, ``accepted`` rejects a text
+RESCALE = LONGEST_PIECE  # places between rescalings of the sums; a piece crosses one at most
 E_STEP_WORDS = 60_000  # distinct words of a language that an expectation step takes at once
 FLUSH = 200_000  # distinct (language, word) pairs that a worker holds
 
@@ -103,7 +104,7 @@ def vocabulary(path: str) -> list[str]:
 
 
 def _by_length(found: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, code points with the word mark in front) of the words of each length."""
+    """(places, code points with the word mark in front) of the words of each length up to LONGEST_WORD."""
     lens = np.array([len(w) for w in found])
     for t in np.unique(lens[lens <= LONGEST_WORD]).tolist():
         at = np.flatnonzero(lens == t)
@@ -115,23 +116,28 @@ def _by_length(found: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield some, codes
 
 
-def _alphas(lattice: list, prob: np.ndarray) -> list[np.ndarray]:
-    """Forward sums at each place. prob: (piece, language), row 0 zero."""
+def _alphas(lattice: list, prob: np.ndarray) -> tuple[list[np.ndarray], dict[int, np.ndarray]]:
+    """Forward sums at each place, and the sums by which those from a place on are divided. prob: (piece, language), row 0 zero."""
     n, t = len(lattice[0][0]), len(lattice)
-    alpha = [np.zeros((n, prob.shape[1])) for _ in range(t + 1)]
+    alpha, scale = [np.zeros((n, prob.shape[1])) for _ in range(t + 1)], {}
     alpha[0][:] = 1
     for i in range(t):
+        if i and i % RESCALE == 0:
+            s = scale[i] = alpha[i]
+            for j in range(i, min(i + LONGEST_PIECE, t + 1)):
+                alpha[j] = alpha[j] / s
         for k, ids in enumerate(lattice[i]):
             alpha[i + k + 1] += alpha[i] * prob[ids]
         alpha[i + 1] += alpha[i] * (UNKNOWN * (lattice[i][0] == 0))[:, None]
-    return alpha
+    return alpha, scale
 
 
 def log_probs(pieces: Pieces, prob: np.ndarray, found: list[str]) -> np.ndarray:
     """Log-probability of each word under each language, over all segmentations."""
     out = np.zeros((len(found), prob.shape[1]))
     for at, codes in _by_length(found):
-        out[at] = np.log(_alphas(pieces.lattice(codes), prob)[-1])
+        alpha, scale = _alphas(pieces.lattice(codes), prob)
+        out[at] = sum(map(np.log, scale.values()), np.log(alpha[-1]))
     index = None
     for j, w in enumerate(found):
         if len(w) > LONGEST_WORD:
@@ -156,23 +162,53 @@ def _long(index: dict[str, int], prob: np.ndarray, w: str) -> np.ndarray:
     return log
 
 
+def _long_uses(index: dict[str, int], prob: list[float], w: str) -> Iterator[tuple[int, float]]:
+    """(piece, expected uses) of one long word: each place's shares of what ends there, then the places' own chances from the end back."""
+    ring, shares = [1.0], [[]]
+    for j in range(1, len(w) + 1):
+        ways = []
+        for k in range(1, min(LONGEST_PIECE, j) + 1):
+            i = index.get(w[j - k : j], 0)
+            if i:
+                ways.append((k, i, ring[-k] * prob[i]))
+            elif k == 1:
+                ways.append((1, 0, ring[-1] * UNKNOWN))
+        now = sum(x for _, _, x in ways)
+        shares.append([(k, i, x / now) for k, i, x in ways])
+        ring = [x / now for x in ring[-LONGEST_PIECE + 1 :]] + [1.0]
+    chance = [0.0] * len(w) + [1.0]
+    for j in range(len(w), 0, -1):
+        for k, i, share in shares[j]:
+            x = chance[j] * share
+            chance[j - k] += x
+            if i:
+                yield i, x
+
+
 def expected(pieces: Pieces, prob: np.ndarray, found: list[str], times: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in words that occur ``times`` times, by forward and backward sums. prob: (piece,)."""
     total = np.zeros(len(prob))
     column = prob[:, None]
     for at, codes in _by_length(found):
         lattice = pieces.lattice(codes)
-        alpha = [a[:, 0] for a in _alphas(lattice, column)]
+        alpha, scale = _alphas(lattice, column)
         t = len(lattice)
-        beta = [np.zeros(len(at)) for _ in range(t)] + [np.ones(len(at))]
+        beta = [np.zeros(len(at)) for _ in range(t)] + [times[at] / alpha[t][:, 0]]
         for i in range(t - 1, -1, -1):
+            turn = (i // RESCALE + 1) * RESCALE  # sums from here on have another scale
             for k, ids in enumerate(lattice[i]):
-                beta[i] += prob[ids] * beta[i + k + 1]
-            beta[i] += UNKNOWN * (lattice[i][0] == 0) * beta[i + 1]
-        scale = times[at] / alpha[t]
-        for i in range(t):
-            for k, ids in enumerate(lattice[i]):
-                total += np.bincount(ids, alpha[i] * prob[ids] * beta[i + k + 1] * scale, len(prob))
+                after = beta[i + k + 1] / scale[turn][:, 0] if turn in scale and i + k + 1 >= turn else beta[i + k + 1]
+                use = prob[ids] * after
+                beta[i] += use
+                if not k:
+                    beta[i] += UNKNOWN * (ids == 0) * after
+                total += np.bincount(ids, alpha[i][:, 0] * use, len(prob))
+    long = [j for j, w in enumerate(found) if len(w) > LONGEST_WORD]
+    if long:
+        index, p = {x: i for i, x in enumerate(pieces.names, 1)}, prob.tolist()
+        for j in long:
+            for i, x in _long_uses(index, p, "▁" + found[j]):
+                total[i] += x * times[j]
     total[0] = 0
     return total
 

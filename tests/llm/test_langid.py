@@ -80,3 +80,25 @@ def test_predictions(spark, rows):
     assert kept.columns == df.columns and {1000, 1001, 1002}.isdisjoint(r.doc_id for r in kept.collect())
     assert L.identified(df.limit(0), PATH).collect() == []
     assert {r.lang_pred for r in L.identified(df.withColumn("lang", df.lang.substr(9, 9)).filter("lang != ''"), PATH).collect()} == set()
+
+
+def test_expectation_counts_long_words(monkeypatch):
+    pieces = L.Pieces(["▁", "▁a", "a", "b", "ab", "bab", "▁ab", "c", "aa"])
+    prob = np.concatenate(([0], np.random.default_rng(1).random(len(pieces.names))))
+    some, times = ["abab", "ab", "xabqc", "babab", "c"], np.arange(1.0, 6.0)
+    want = L.expected(pieces, prob, some, times)
+    monkeypatch.setattr(L, "LONGEST_WORD", 2)
+    assert np.allclose(L.expected(pieces, prob, some, times), want, rtol=1e-9)
+    got = L.expected(pieces, prob, ["ab" * 150], np.array([3.0]))
+    assert math.isclose(sum(n * len(x) for n, x in zip(got[1:], pieces.names, strict=True)), 3 * 301, rel_tol=1e-9)
+
+
+def test_short_words_do_not_underflow():
+    pieces = L.Pieces(["▁", "漢", "字", "漢字"])
+    prob = np.array([0, 1e-10, 1e-11, 1e-10, 1e-30])
+    for n in (7, 8, 9, 15, 16, 17, L.LONGEST_WORD):
+        w = ("漢字" * n)[:n]
+        long = L._long({x: i for i, x in enumerate(pieces.names, 1)}, prob[:, None], "▁" + w)
+        assert np.allclose(L.log_probs(pieces, prob[:, None], [w])[0], long, rtol=1e-12)
+        got = L.expected(pieces, prob, [w], np.array([2.0]))
+        assert math.isclose(sum(k * len(x) for k, x in zip(got[1:], pieces.names, strict=True)), 2 * (n + 1), rel_tol=1e-9)
