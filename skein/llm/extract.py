@@ -5,7 +5,7 @@ source (content) and to the sink (boilerplate); neighbours in page order and blo
 smoothness edges. The maximum flow separates content from boilerplate: a block stays if the source still reaches it.
 
 Defined cases: a null or empty page has empty text; markup may be broken anywhere (open tags, stray marks, quotes); comments,
-scripts, styles and other raw elements hold no text; repeated rows are extracted each; an empty table gives an empty result;
+scripts, styles and other raw elements hold no text, drawings neither; formulas and what stands in for an object or media are text; repeated rows are extracted each; an empty table gives an empty result;
 further columns pass through.
 """
 
@@ -28,10 +28,16 @@ _TAG = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z]+")
 
-RAW = frozenset("script style noscript template textarea title iframe object select svg math audio video canvas noframes noembed xmp".split())
+RAW = frozenset("script style noscript template textarea title iframe select svg noframes noembed xmp".split())
+#: Of these, what has other elements inside: without an end tag only the tag itself is skipped, not the rest of the page.
+NESTING = frozenset("noscript template select svg".split())
+MATH = frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts "
+    "mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+INLINE = MATH | frozenset(
+    "audio canvas object param source track video a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 #: Elements and name parts of what isn't the article.
 BAD_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
@@ -98,11 +104,13 @@ def blocks(page: str) -> list[Block]:
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break  # an inline end doesn't close a block
             continue
+        if (tag == "svg" or tag in MATH) and m[3].endswith("/"):
+            continue  # only these may close themselves
         if tag in RAW:
             if tag not in INLINE and tag in ("title", "noscript"):
                 flush()
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+            at = end.end() if end else at if tag in NESTING else len(page)
             continue
         if tag in INLINE:
             if tag == "br":

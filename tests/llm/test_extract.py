@@ -35,3 +35,12 @@ def test_odd_pages(spark):
     assert by[0, None] == WANT and by[0, "u0"] == by[1, "u1"] == by[2, "u2"] == by[6, "u6"] == by[7, "u7"] == ""
     assert by[11, "u11"] == "deep words" and by[12, "u12"] == "\n".join(["word."] * 5000)
     assert E.report(df.limit(0)).collect() == []
+
+
+def test_drawings_formulas_and_objects_lose_no_text():
+    page = "<article><p>a</p>{}<p>b</p></article><p>c"
+    for x in ("<svg class='i'/>", "<svg/>", '<svg viewBox="0 0 1 1" />', "<math/>", "<svg><text>no</text></svg>", "<svg class='i'>", "<select>", "<noscript>"):
+        assert E.main_text(page.format(x)) == "a\nb", x
+    assert E.main_text("<article><p>so <math><mi>x</mi><mspace/><mo>=</mo><mn>1</mn></math> holds</p></article>") == "so x=1 holds"
+    assert E.main_text("<article><p>see <object data='x'><param name='a'>the plan <video src='y'>or film</video></object> here</p></article>") == "see the plan or film here"
+    assert E.main_text("<article><p>a</p><script>x <p>no</p>") == "a"
