@@ -140,6 +140,19 @@ def joined(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: fl
 
 def _joined(source: DataFrame, n: int, threshold: float, bands: int, rows: int) -> DataFrame:
     """``joined`` of rows with rid, doc_id and text."""
+    signed, named = _classes(source, n, threshold, bands, rows)
+    return signed.join(named, "digest", "left").select(
+        "rid",
+        "doc_id",
+        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+        "n_grams",
+    )
+
+
+def _classes(source: DataFrame, n: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their digests, and the digests with their classes: class_id, keeper (the rid of the class's least (doc_id, rid), null ids last), n_links, n_copies."""
 
     def sign(batches):
         for part in common.chunks(batches, size=2 << 20):
@@ -152,10 +165,9 @@ def _joined(source: DataFrame, n: int, threshold: float, bands: int, rows: int)
     signed = common.cut(source.mapInArrow(sign, "rid long, doc_id long, digest binary, bands array<long>, n_grams long"))
     # classes of equal sets; made before the shuffle, so many copies cost one row per task
     least = F.min(F.struct("rid", "bands")).alias("least")
-    classes = (
-        signed.filter("digest is not null").groupBy("digest").agg(least, F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
-    )
-    classes = common.cut(classes.select("digest", F.col("least.rid").alias("rep"), F.col("least.bands").alias("bands"), "first_id", "n_copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
+    classes = signed.filter("digest is not null").groupBy("digest").agg(least, first, F.count(F.lit(1)).alias("n_copies"))
+    classes = common.cut(classes.select("digest", F.col("least.rid").alias("rep"), F.col("least.bands").alias("bands"), "first", "n_copies"))
     buckets = classes.select("rep", F.explode("bands").alias("h"))
     hubs = buckets.groupBy("h").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("h", "hub")
     tied = buckets.join(hubs, "h").select(F.col("hub").alias("u"), F.col("rep").alias("v"))
@@ -216,31 +228,15 @@ def _joined(source: DataFrame, n: int, threshold: float, bands: int, rows: int)
     verified = common.cut(spread.mapInArrow(verify, "rep long, other long, links long"))
     counts = verified.filter("links > 0").groupBy("rep").agg(F.sum("links").alias("n_links"))
     roots = components(verified.filter("links = 0").select(F.col("rep").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("rep"), "root")
-    named = classes.select("digest", "rep", "first_id", "n_copies").join(counts, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    ids = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = named.join(ids, "root").select("digest", "rep", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return signed.drop("bands").join(named, "digest", "left").select(
-        "rid",
-        "doc_id",
-        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
-        "n_grams",
-    )
+    named = classes.select("digest", "rep", "first", "n_copies").join(counts, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    ids = named.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.doc_id").alias("class_id"), F.col("first.rid").alias("keeper"))
+    named = named.drop("first").join(ids, "root").select("digest", "rep", "class_id", "keeper", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    return signed.drop("bands"), named
 
 
 def deduplicated(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with one of each class: a row with the class's name as its doc_id. Classes without any doc_id keep their rows."""
+    """The rows of ``docs`` with one of each class: its least doc_id's first row, or its first row where no row has a doc_id. Rows without n-grams all stay."""
     docs = common.with_row_id(docs.withColumnRenamed("rid", "__rid") if "rid" in docs.columns else docs)
-    found = _joined(docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text"), n, threshold, *banding(threshold))
-    first = F.row_number().over(_by_doc())
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # of repeated rows of the named document one stays; a group here is one doc_id
-    keep = keep.withColumn("k", F.when(F.col("doc_id").isNotNull() & (F.col("n_grams") > 0), first).otherwise(1)).filter("k = 1").select("rid")
+    signed, named = _classes(docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text"), n, threshold, *banding(threshold))
+    keep = signed.filter("digest is null").select("rid").unionByName(named.select(F.col("keeper").alias("rid")).distinct())
     return docs.join(keep, "rid", "left_semi").drop("rid").withColumnRenamed("__rid", "rid")
-
-
-def _by_doc():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy("rid")

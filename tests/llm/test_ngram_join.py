@@ -89,3 +89,12 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     assert got == root
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_one_row_of_each_class_whatever_its_ids(spark):
+    text = lambda k: " ".join(f"x{k}y{i}" for i in range(12))
+    rows = [(7, text(k), k) for k in range(20)] + [(7, text(3), 20), (8, text(4), 21)]  # one id for many texts
+    rows += [(None, text(50), 30), (None, text(50), 31), (None, text(51), 32), (9, text(51), 33)]  # copies without an id
+    rows += [(7, None, 40), (7, "--", 41), (None, "", 42)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").coalesce(1)
+    assert sorted(r.n for r in J.deduplicated(df).collect()) == [*range(20), 30, 33, 40, 41, 42]
