@@ -206,7 +206,7 @@ def _runs(place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(pre-token, text, frequency) of sorted occurrences."""
     key = place.astype(np.int64) << 32 | text
     key.sort(kind="stable")
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else key
     return key[at] >> 32, key[at] & 0xFFFFFFFF, np.diff(np.append(at, len(key)))
 
 

@@ -56,3 +56,8 @@ def test_counts(spark):
 
 def test_empty_table(spark):
     assert T.token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_partitions_of_empty_texts_only(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, None)], "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, T.token_counts(df, PATH).collect())) == [(1, 0, 0, False), (2, 0, 0, False), (3, 0, 0, False)]
