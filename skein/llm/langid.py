@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,15 @@ from pyspark.sql import functions as F
 from . import common
 
 ROUNDS = 2
-LONGEST_PIECE = 8
-LONGEST_WORD = 40  # longer words take a rescaled forward pass of their own
+BATCHED_WORD = 40  # words up to here go through the passes many at a time, longer ones one by one with the same sums
+BATCH_BYTES = 24 << 20  # sums and lattices of the words that a pass takes at once
 UNKNOWN = 1e-6  # probability of a character that no piece holds, in every language
 SMOOTHING = 0.1
 MIN_SCORE = 0.5  # under it, ``accepted`` rejects a text
-RESCALE = LONGEST_PIECE  # places between rescalings of the sums; a piece crosses one at most
 E_STEP_WORDS = 60_000  # distinct words of a language that an expectation step takes at once
 FLUSH = 200_000  # distinct (language, word) pairs that a worker holds
+CHUNK = 4 << 20  # text scored at once: distinct words go through the passes together
+CACHE = 100_000  # words whose log-probabilities a task remembers
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -44,54 +46,86 @@ def words(text: str | None) -> list[str]:
 
 
 class Pieces:
-    """The vocabulary's pieces of at most LONGEST_PIECE characters, found by rolling hash and verified by key."""
+    """The vocabulary's pieces that can occur in a lower-case word. Their prefixes are found by rolling hash and verified by key, so a
+    stretch of text is followed only as far as some piece goes on."""
 
     def __init__(self, names: list[str]):
-        self.names = sorted({x for x in names if 0 < len(x) <= LONGEST_PIECE and x == x.lower()})
-        self.keys = np.zeros(len(self.names) + 1, np.uint64)
-        for i, x in enumerate(self.names, 1):
-            self.keys[i] = self._roll([np.uint64(ord(c)) for c in x])
-        self.keys[0] = np.uint64(0)
+        self.names = sorted({x for x in names if x and x == x.lower()})
+        self.longest = max(map(len, self.names), default=1)
+        nodes: dict[str, int] = {"": 0}
+        keys, before = [0], [0]
+        for x in self.names:
+            for k in range(1, len(x) + 1):
+                if x[:k] not in nodes:
+                    parent = nodes[x[: k - 1]]
+                    nodes[x[:k]] = len(nodes)
+                    keys.append(((keys[parent] if k > 1 else 7) * 0x9E3779B97F4A7C15 + ord(x[k - 1]) + 1) & 0xFFFFFFFFFFFFFFFF)
+                    before.append(parent)
+        self.keys = np.array(keys, np.uint64)
+        self.more = np.zeros(len(keys), bool)
+        self.more[before[1:]] = True
+        self.piece = np.zeros(len(keys), np.int32)
+        self.piece[[nodes[x] for x in self.names]] = np.arange(1, len(self.names) + 1)
+        singles = {ord(x): i for x, i in nodes.items() if len(x) == 1}
+        self.first = np.zeros(max(singles, default=0) + 2, np.int32)  # the last place stands for all characters beyond
+        self.first[list(singles)] = list(singles.values())
         rng = np.random.default_rng(1)
         left, self.tables = np.arange(1, len(self.keys)), []
         while len(left):
-            m = np.uint64(int(rng.integers(1 << 62)) * 2 + 1)
+            m, shift = np.uint64(int(rng.integers(1 << 62)) * 2 + 1), np.uint64(64 - max(8, int(16 * len(left)).bit_length()))
             with np.errstate(over="ignore"):
-                slot = (self.keys[left] * m >> np.uint64(46)).astype(np.int64)
-            table = np.zeros(1 << 18, np.uint16 if len(self.keys) < 65536 else np.int32)
-            table[slot] = left  # of equal slots the last stays
-            self.tables.append((m, table))
-            left = left[table[slot] != left]
-
-    @staticmethod
-    def _roll(codes):
-        h = codes[0] * 0 + np.uint64(7)
-        with np.errstate(over="ignore"):
-            for c in codes:
-                h = h * np.uint64(0x9E3779B97F4A7C15) + c + np.uint64(1)
-        return h
+                slot = (self.keys[left] * m >> shift).astype(np.int64)
+            table = np.zeros(1 << 64 - int(shift), np.int32)
+            table[slot] = left  # of equal slots the last stays; a minus says that others are in the next table
+            lost = table[slot] != left
+            table[slot[lost]] = -np.abs(table[slot[lost]])
+            self.tables.append((m, shift, table))
+            left = left[lost]
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """The piece of each hash, 0 for none."""
-        out = None
-        for m, table in self.tables:
+        """The prefix of each hash, 0 for none."""
+        out, left = None, None
+        for m, shift, table in self.tables:
+            now = h if left is None else h[left]
             with np.errstate(over="ignore"):
-                got = table[(h * m >> np.uint64(46)).astype(np.int64)]
-            got = np.where(self.keys[got] == h, got, 0)
-            out = got if out is None else np.where(out > 0, out, got)
-        return out.astype(np.int32)
+                got = table[(now * m >> shift).view(np.int64)]
+            shared = got < 0
+            again = np.flatnonzero(shared) if shared.any() else shared[:0]
+            got = np.abs(got)
+            got[self.keys[got] != now] = 0
+            if left is None:
+                out = got
+            else:
+                out[left] = got
+            again = again[got[again] == 0] if len(again) else again
+            if not len(again):
+                break
+            left = again if left is None else left[again]
+        return out
 
-    def lattice(self, codes: np.ndarray) -> list[list[np.ndarray]]:
-        """Of words of one length, (word, place) -> for each start and piece length the pieces."""
+    def lattice(self, codes: np.ndarray) -> list[list[tuple]]:
+        """Of words of one length, for each start and number of characters: (words, pieces). The first of a start has every word, with piece 0
+        where the character is none."""
         n, t = codes.shape
         out = []
         with np.errstate(over="ignore"):
             for i in range(t):
-                h, row = np.full(n, 7, np.uint64), []
-                for k in range(min(LONGEST_PIECE, t - i)):
-                    h = h * np.uint64(0x9E3779B97F4A7C15) + codes[:, i + k] + np.uint64(1)
-                    row.append(self.find(h))
-                out.append(row)
+                rows, h, steps = np.arange(n), np.full(n, 7, np.uint64), []
+                for k in range(min(self.longest, t - i)):
+                    code = codes[rows, i + k] if k else codes[:, i]
+                    h = h * np.uint64(0x9E3779B97F4A7C15) + code + np.uint64(1)
+                    node = self.find(h) if k else self.first[np.minimum(code, np.uint64(len(self.first) - 1)).view(np.int64)]
+                    piece = self.piece[node]
+                    if k:
+                        has = np.flatnonzero(piece)
+                        steps.append((rows[has], piece[has]))
+                    else:
+                        steps.append((slice(None), piece))
+                    on = np.flatnonzero(self.more[node])
+                    if not len(on):
+                        break
+                    rows, h = rows[on], h[on]
+                out.append(steps)
         return out
 
 
@@ -103,71 +137,76 @@ def vocabulary(path: str) -> list[str]:
     return [p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
 
 
-def _by_length(found: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, code points with the word mark in front) of the words of each length up to LONGEST_WORD."""
+def _by_length(found: list[str], longest: int, langs: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, code points with the word mark in front) of the words of each length up to BATCHED_WORD, as many as BATCH_BYTES hold."""
     lens = np.array([len(w) for w in found])
-    for t in np.unique(lens[lens <= LONGEST_WORD]).tolist():
+    for t in np.unique(lens[lens <= BATCHED_WORD]).tolist():
         at = np.flatnonzero(lens == t)
-        for i in range(0, len(at), 20_000):
-            some = at[i : i + 20_000]
+        most = max(1, BATCH_BYTES // ((t + 2) * (8 * langs + 4 * min(longest, t + 1) + 8)))
+        for i in range(0, len(at), most):
+            some = at[i : i + most]
             raw = np.frombuffer("".join([found[j] for j in some.tolist()]).encode("utf-32-le"), np.uint32).reshape(-1, t)
             codes = np.empty((len(some), t + 1), np.uint64)
             codes[:, 0], codes[:, 1:] = 0x2581, raw
             yield some, codes
 
 
-def _alphas(lattice: list, prob: np.ndarray) -> tuple[list[np.ndarray], dict[int, np.ndarray]]:
-    """Forward sums at each place, and the sums by which those from a place on are divided. prob: (piece, language), row 0 zero."""
-    n, t = len(lattice[0][0]), len(lattice)
+def _alphas(lattice: list, prob: np.ndarray, longest: int) -> tuple[list[np.ndarray], dict[int, np.ndarray]]:
+    """Forward sums at each place, and the sums by which those from a place on are divided, every ``longest`` places (a piece crosses one
+    such place at most). prob: (piece, language), row 0 zero."""
+    n, t = len(lattice[0][0][1]), len(lattice)
     alpha, scale = [np.zeros((n, prob.shape[1])) for _ in range(t + 1)], {}
     alpha[0][:] = 1
     for i in range(t):
-        if i and i % RESCALE == 0:
+        if i and i % longest == 0:
             s = scale[i] = alpha[i]
-            for j in range(i, min(i + LONGEST_PIECE, t + 1)):
+            for j in range(i, min(i + longest, t + 1)):
                 alpha[j] = alpha[j] / s
-        for k, ids in enumerate(lattice[i]):
-            alpha[i + k + 1] += alpha[i] * prob[ids]
-        alpha[i + 1] += alpha[i] * (UNKNOWN * (lattice[i][0] == 0))[:, None]
+        for k, (who, ids) in enumerate(lattice[i]):
+            use = prob[ids]
+            if not k:
+                use[ids == 0] = UNKNOWN
+            use *= alpha[i][who]
+            alpha[i + k + 1][who] += use
     return alpha, scale
 
 
 def log_probs(pieces: Pieces, prob: np.ndarray, found: list[str]) -> np.ndarray:
     """Log-probability of each word under each language, over all segmentations."""
     out = np.zeros((len(found), prob.shape[1]))
-    for at, codes in _by_length(found):
-        alpha, scale = _alphas(pieces.lattice(codes), prob)
+    for at, codes in _by_length(found, pieces.longest, prob.shape[1]):
+        alpha, scale = _alphas(pieces.lattice(codes), prob, pieces.longest)
         out[at] = sum(map(np.log, scale.values()), np.log(alpha[-1]))
     index = None
     for j, w in enumerate(found):
-        if len(w) > LONGEST_WORD:
+        if len(w) > BATCHED_WORD:
             index = index or {x: i for i, x in enumerate(pieces.names, 1)}
-            out[j] = _long(index, prob, "▁" + w)
+            out[j] = _long(index, prob, "▁" + w, pieces.longest)
     return out
 
 
-def _long(index: dict[str, int], prob: np.ndarray, w: str) -> np.ndarray:
+def _long(index: dict[str, int], prob: np.ndarray, w: str, longest: int) -> np.ndarray:
     """The same for one long word: a ring of forward sums, rescaled at each place."""
     ring, log = [np.ones(prob.shape[1])], np.zeros(prob.shape[1])
     for j in range(1, len(w) + 1):
         now = np.zeros(prob.shape[1])
-        for k in range(1, min(LONGEST_PIECE, j) + 1):
+        for k in range(1, min(longest, j) + 1):
             i = index.get(w[j - k : j], 0)
             if i:
                 now = now + ring[-k] * prob[i]
             elif k == 1:
                 now = now + ring[-1] * UNKNOWN
-        ring = [x / now for x in ring[-LONGEST_PIECE + 1 :]] + [np.ones(prob.shape[1])]
+        ring = [x / now for x in (ring[-longest + 1 :] if longest > 1 else [])] + [np.ones(prob.shape[1])]
         log += np.log(now)
     return log
 
 
-def _long_uses(index: dict[str, int], prob: list[float], w: str) -> Iterator[tuple[int, float]]:
+def _long_uses(index: dict[str, int], prob: list[float], w: str, longest: int) -> Iterator[tuple[int, float]]:
     """(piece, expected uses) of one long word: each place's shares of what ends there, then the places' own chances from the end back."""
     ring, shares = [1.0], [[]]
     for j in range(1, len(w) + 1):
         ways = []
-        for k in range(1, min(LONGEST_PIECE, j) + 1):
+        for k in range(1, min(longest, j) + 1):
             i = index.get(w[j - k : j], 0)
             if i:
                 ways.append((k, i, ring[-k] * prob[i]))
@@ -175,7 +214,7 @@ def _long_uses(index: dict[str, int], prob: list[float], w: str) -> Iterator[tup
                 ways.append((1, 0, ring[-1] * UNKNOWN))
         now = sum(x for _, _, x in ways)
         shares.append([(k, i, x / now) for k, i, x in ways])
-        ring = [x / now for x in ring[-LONGEST_PIECE + 1 :]] + [1.0]
+        ring = [x / now for x in (ring[-longest + 1 :] if longest > 1 else [])] + [1.0]
     chance = [0.0] * len(w) + [1.0]
     for j in range(len(w), 0, -1):
         for k, i, share in shares[j]:
@@ -189,25 +228,28 @@ def expected(pieces: Pieces, prob: np.ndarray, found: list[str], times: np.ndarr
     """Expected uses of each piece in words that occur ``times`` times, by forward and backward sums. prob: (piece,)."""
     total = np.zeros(len(prob))
     column = prob[:, None]
-    for at, codes in _by_length(found):
+    for at, codes in _by_length(found, pieces.longest, 1):
         lattice = pieces.lattice(codes)
-        alpha, scale = _alphas(lattice, column)
+        alpha, scale = _alphas(lattice, column, pieces.longest)
         t = len(lattice)
         beta = [np.zeros(len(at)) for _ in range(t)] + [times[at] / alpha[t][:, 0]]
         for i in range(t - 1, -1, -1):
-            turn = (i // RESCALE + 1) * RESCALE  # sums from here on have another scale
-            for k, ids in enumerate(lattice[i]):
-                after = beta[i + k + 1] / scale[turn][:, 0] if turn in scale and i + k + 1 >= turn else beta[i + k + 1]
-                use = prob[ids] * after
-                beta[i] += use
+            turn = (i // pieces.longest + 1) * pieces.longest  # sums from here on have another scale
+            for k, (who, ids) in enumerate(lattice[i]):
+                after = beta[i + k + 1][who]
+                if turn in scale and i + k + 1 >= turn:
+                    after = after / scale[turn][who, 0]
+                use = prob[ids]
                 if not k:
-                    beta[i] += UNKNOWN * (ids == 0) * after
-                total += np.bincount(ids, alpha[i][:, 0] * use, len(prob))
-    long = [j for j, w in enumerate(found) if len(w) > LONGEST_WORD]
+                    use[ids == 0] = UNKNOWN
+                use *= after
+                beta[i][who] += use
+                total += np.bincount(ids, alpha[i][who, 0] * use, len(prob))
+    long = [j for j, w in enumerate(found) if len(w) > BATCHED_WORD]
     if long:
         index, p = {x: i for i, x in enumerate(pieces.names, 1)}, prob.tolist()
         for j in long:
-            for i, x in _long_uses(index, p, "▁" + found[j]):
+            for i, x in _long_uses(index, p, "▁" + found[j], pieces.longest):
                 total[i] += x * times[j]
     total[0] = 0
     return total
@@ -222,23 +264,35 @@ class Model:
     def __init__(self, pieces: Pieces, langs: list[str], prior: np.ndarray, prob: np.ndarray):
         self.pieces, self.langs, self.prior, self.prob = pieces, langs, prior, prob
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+
+class Scorer:
+    """Predictions by a model; up to CACHE words' log-probabilities are kept from one call to the next."""
+
+    def __init__(self, model: Model):
+        self.model, self.known, self.per_word = model, {}, np.zeros((0, len(model.langs)))
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, its probability) of each text."""
-        known: dict[str, int] = {}
-        ids, first = [], [0]
+        m = self.model
+        if len(self.known) > CACHE:
+            self.known, self.per_word = {}, self.per_word[:0]
+        known, n_before = self.known, len(self.known)
+        ids, counts = [], []
         for t in texts:
-            ids += [known.setdefault(w, len(known)) for w in words(t)]
-            first.append(len(ids))
-        if not known or not self.langs:
+            own = [known.setdefault(w, len(known)) for w in words(t)]
+            ids.append(np.array(own, np.int32))
+            counts.append(len(own))
+        if not m.langs or not any(counts):
+            self.known, self.per_word = {}, self.per_word[:0]
             return [("und", 0.0)] * len(texts)
-        per_word = log_probs(self.pieces, self.prob, list(known))
-        who = np.repeat(np.arange(len(texts)), np.diff(first))
-        at = np.array(ids)
-        total = np.stack([np.bincount(who, per_word[at, k], len(texts)) for k in range(len(self.langs))], 1) + self.prior
+        if len(known) > n_before:
+            self.per_word = np.concatenate((self.per_word, log_probs(m.pieces, m.prob, list(islice(known, n_before, None)))))
+        who, at = np.repeat(np.arange(len(texts)), counts), np.concatenate(ids)
+        total = np.stack([np.bincount(who, self.per_word[at, k], len(texts)) for k in range(len(m.langs))], 1) + m.prior
         best = total.argmax(1)
         with np.errstate(under="ignore"):
             score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        return [(self.langs[b], float(s)) if n else ("und", 0.0) for b, s, n in zip(best.tolist(), score, np.diff(first).tolist(), strict=True)]
+        return [(m.langs[b], float(s)) if n else ("und", 0.0) for b, s, n in zip(best.tolist(), score, counts, strict=True)]
 
 
 def learn(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> Model:
@@ -272,10 +326,10 @@ def learn(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> Model:
         yield out()
 
     train = docs.select("lang", "text").filter(~held_out() & F.col("lang").isNotNull())
-    counted = common.cut(train.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    counted = common.cut(train.mapInArrow(common.tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     priors = {r.lang: r.n for r in counted.filter("word = ''").collect()}
     langs = sorted(priors)
-    size = len(pieces.keys)
+    size = len(pieces.names) + 1
     prob = np.full((size, len(langs)), 1.0 / (size - 1))
     prob[0] = 0
     for _ in range(rounds if langs else 0):
@@ -304,11 +358,13 @@ def learn(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> Model:
             i, k = np.nonzero(total)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(i, pa.int32()), "k": pa.array(k, pa.int32()), "n": pa.array(np.round(total[i, k] * 1024).astype(np.int64))})
 
-        got = counted.filter("word != ''").mapInArrow(estimate, "piece int, k int, n long").groupBy("piece", "k").agg(F.sum("n").alias("n")).toArrow()
+        got = counted.filter("word != ''").mapInArrow(common.tidy(estimate), "piece int, k int, n long").groupBy("piece", "k").agg(F.sum("n").alias("n")).toArrow()
         uses = np.full_like(prob, SMOOTHING)
         uses[got.column("piece").to_numpy(), got.column("k").to_numpy()] += got.column("n").to_numpy() / 1024
         uses[0] = 0
         prob = uses / uses.sum(0)
+        now.unpersist()
+    shared.unpersist()
     total = sum(priors.values())
     return Model(pieces, langs, np.log(np.array([priors[x] / total for x in langs])), prob)
 
@@ -318,13 +374,14 @@ def _predicted(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part in common.chunks(batches):
-            got = shared.value.predict(part.column("text").to_pylist())
+        predict = Scorer(shared.value)
+        for part in common.chunks(batches, size=CHUNK):
+            got = predict(part.column("text").to_pylist())
             names = [*part.schema.names, "lang_pred", "score"]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return docs.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double"]))
+    return docs.mapInArrow(common.tidy(run), ", ".join([*fields, "lang_pred string, score double"]))
 
 
 def identified(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -340,8 +397,9 @@ def accepted(docs: DataFrame, vocabulary_path: str, min_score: float = MIN_SCORE
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part in common.chunks(batches):
-            got = shared.value.predict(part.column("text").to_pylist())
+        predict = Scorer(shared.value)
+        for part in common.chunks(batches, size=CHUNK):
+            got = predict(part.column("text").to_pylist())
             yield part.filter(pa.array([x[0] != "und" and x[1] >= min_score for x in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidy(run), docs.schema)

@@ -12,7 +12,7 @@ PATH = public_tokenizers.path("piece_bpe_32k.model")
 def segmentations(w):
     if not w:
         yield []
-    for k in range(1, min(L.LONGEST_PIECE, len(w)) + 1):
+    for k in range(1, len(w) + 1):
         for rest in segmentations(w[k:]):
             yield [w[:k], *rest]
 
@@ -45,15 +45,24 @@ def test_forward_and_expectation_sum_all_segmentations():
     long = "ab" * 30
     index = {x: i for i, x in enumerate(pieces.names, 1)}
     short = "ab" * 15
-    assert np.allclose(L._long(index, prob, "▁" + short), L.log_probs(pieces, prob, [short])[0])
+    assert np.allclose(L._long(index, prob, "▁" + short, pieces.longest), L.log_probs(pieces, prob, [short])[0])
     assert np.isfinite(L.log_probs(pieces, prob, [long, "q" * 5000])).all()
 
 
 def test_every_piece_is_found():
     pieces = L.Pieces(L.vocabulary(PATH))
+    assert pieces.longest > 8 and pieces.names == sorted({x for x in L.vocabulary(PATH) if x == x.lower()})
     for name in pieces.names[::97]:
         codes = np.array([[ord(c) for c in name]], np.uint64)
-        assert pieces.names[int(pieces.lattice(codes)[0][-1][0]) - 1] == name
+        who, found = pieces.lattice(codes)[0][len(name) - 1]
+        assert pieces.names[int(found[0]) - 1] == name
+
+
+def test_long_pieces_take_part():
+    pieces = L.Pieces(["▁", "i", "n", "f", "o", "r", "m", "a", "t", "▁information"])
+    prob = np.concatenate(([0], np.full(len(pieces.names), 0.01)))
+    total = by_hand(pieces, prob, "information")[0]
+    assert math.isclose(math.exp(L.log_probs(pieces, prob[:, None], ["information"])[0, 0]), total, rel_tol=1e-9) and total > 0.0099
 
 
 @pytest.fixture(scope="module")
@@ -87,7 +96,7 @@ def test_expectation_counts_long_words(monkeypatch):
     prob = np.concatenate(([0], np.random.default_rng(1).random(len(pieces.names))))
     some, times = ["abab", "ab", "xabqc", "babab", "c"], np.arange(1.0, 6.0)
     want = L.expected(pieces, prob, some, times)
-    monkeypatch.setattr(L, "LONGEST_WORD", 2)
+    monkeypatch.setattr(L, "BATCHED_WORD", 2)
     assert np.allclose(L.expected(pieces, prob, some, times), want, rtol=1e-9)
     got = L.expected(pieces, prob, ["ab" * 150], np.array([3.0]))
     assert math.isclose(sum(n * len(x) for n, x in zip(got[1:], pieces.names, strict=True)), 3 * 301, rel_tol=1e-9)
@@ -96,9 +105,9 @@ def test_expectation_counts_long_words(monkeypatch):
 def test_short_words_do_not_underflow():
     pieces = L.Pieces(["▁", "漢", "字", "漢字"])
     prob = np.array([0, 1e-10, 1e-11, 1e-10, 1e-30])
-    for n in (7, 8, 9, 15, 16, 17, L.LONGEST_WORD):
+    for n in (7, 8, 9, 15, 16, 17, L.BATCHED_WORD):
         w = ("漢字" * n)[:n]
-        long = L._long({x: i for i, x in enumerate(pieces.names, 1)}, prob[:, None], "▁" + w)
+        long = L._long({x: i for i, x in enumerate(pieces.names, 1)}, prob[:, None], "▁" + w, pieces.longest)
         assert np.allclose(L.log_probs(pieces, prob[:, None], [w])[0], long, rtol=1e-12)
         got = L.expected(pieces, prob, [w], np.array([2.0]))
         assert math.isclose(sum(k * len(x) for k, x in zip(got[1:], pieces.names, strict=True)), 2 * (n + 1), rel_tol=1e-9)
