@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 4 << 20  # text handled at once inside a Python worker
+CHUNK_BYTES = 1 << 20  # text handled at once inside a Python worker
 
 _KEEP = {0x30 + i for i in range(10)} | {0x61 + i for i in range(26)} | set(range(0x80, 0x100))
 _TABLE = np.array([b if b in _KEEP else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
@@ -20,18 +20,36 @@ WORD_TABLE = _TABLE.tobytes()
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BINV = np.uint64(pow(int(_B), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A folder of this machine would be none, so there is no other."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
+def tidy(run):
+    """``run`` over batches, with what the allocators hold on to given back at its end: workers are reused by later stages."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return tidied
+
+
+def _trim() -> None:
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation.
 
@@ -77,17 +95,20 @@ def encoded(column: pa.Array) -> list[bytes]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse modulo 2**64."""
-    have = _POWERS.get("p")
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + (1 << 18))
-        one = np.uint64(1)
-        for key, base in (("p", _B), ("i", _BINV)):
-            table = np.full(size, base, np.uint64)
-            table[0] = one
-            with np.errstate(over="ignore"):
-                _POWERS[key] = np.multiply.accumulate(table)
-    return _POWERS["p"], _POWERS["i"]
+    """The first n powers of the hash base and of its inverse modulo 2**64. Kept for ordinary chunks; for a longer text they are made and go."""
+    if _POWERS and len(_POWERS[0][0]) >= n:
+        return _POWERS[0]
+    keep = n <= CHUNK_BYTES + (1 << 17)
+    size = CHUNK_BYTES + (1 << 17) if keep else n
+    made = []
+    for base in (_B, _BINV):
+        table = np.full(size, base, np.uint64)
+        table[0] = np.uint64(1)
+        with np.errstate(over="ignore"):
+            made.append(np.multiply.accumulate(table, out=table))
+    if keep:
+        _POWERS[:] = [(made[0], made[1])]
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -101,13 +122,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def rolling(values: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Running sums of (value + 1) times the powers p, with a 0 in front."""
+    total = np.empty(len(values) + 1, np.uint64)
+    total[0] = 0
+    with np.errstate(over="ignore"):
+        np.add(values, np.uint64(1), out=total[1:], dtype=np.uint64, casting="unsafe")
+        total[1:] *= p[: len(values)]
+        np.cumsum(total[1:], out=total[1:])
+    return total
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of values[start:end] for each span."""
     p, inverse = powers(len(values) + 1)
+    total = rolling(values, p)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * p[: len(values)], out=total[1:])
-        h = (total[ends] - total[starts]) * inverse[starts]
+        h = total[ends]
+        h -= total[starts]
+        h *= inverse[starts]
         return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
 
 

@@ -188,7 +188,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> Da
             for part, found in _scan(shared.value, batches):
                 yield part.filter(pa.array([not hit.any() for _, hit, _ in found], pa.bool_()))
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(common.tidy(run), out.schema)
     return out
 
 

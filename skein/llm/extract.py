@@ -230,7 +230,7 @@ def extracted(pages: DataFrame) -> DataFrame:
             )
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name in keep]
-    return pages.select(*keep, "html").mapInArrow(run, ", ".join([*fields, "text string, n_chars long"]))
+    return pages.select(*keep, "html").mapInArrow(common.tidy(run), ", ".join([*fields, "text string, n_chars long"]))
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -155,14 +155,14 @@ def _classes(source: DataFrame, n: int, threshold: float, bands: int, rows: int)
     """The rows with their digests, and the digests with their classes: class_id, keeper (the rid of the class's least (doc_id, rid), null ids last), n_links, n_copies."""
 
     def sign(batches):
-        for part in common.chunks(batches, size=2 << 20):
+        for part in common.chunks(batches):
             digest, band, size = signatures(common.encoded(part.column("text")), n, bands, rows)
             yield pa.RecordBatch.from_arrays(
                 [part.column("rid"), part.column("doc_id"), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(size, pa.int64())],
                 ["rid", "doc_id", "digest", "bands", "n_grams"],
             )
 
-    signed = common.cut(source.mapInArrow(sign, "rid long, doc_id long, digest binary, bands array<long>, n_grams long"))
+    signed = common.cut(source.mapInArrow(common.tidy(sign), "rid long, doc_id long, digest binary, bands array<long>, n_grams long"))
     # classes of equal sets; made before the shuffle, so many copies cost one row per task
     least = F.min(F.struct("rid", "bands")).alias("least")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
@@ -176,14 +176,14 @@ def _classes(source: DataFrame, n: int, threshold: float, bands: int, rows: int)
     member = groups.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
     def sets(batches):
-        for part in common.chunks(batches, size=2 << 20):
+        for part in common.chunks(batches):
             h, first = common.shingles(common.encoded(part.column("text")), n)
             own = [np.unique(h[a:b]).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("g", "rep", "block", "blocks")], pa.array(own, pa.binary())], ["g", "rep", "block", "blocks", "grams"])
 
     # one plan at every size: texts move once, whether or not the members would fit a broadcast today
     with_sets = source.select("rid", "text").hint("merge").join(member, F.col("rid") == F.col("rep")).select("g", "rep", "block", "blocks", "text")
-    with_sets = with_sets.mapInArrow(sets, "g long, rep long, block int, blocks int, grams binary")
+    with_sets = with_sets.mapInArrow(common.tidy(sets), "g long, rep long, block int, blocks int, grams binary")
     pairs = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "grams"
     )
@@ -225,7 +225,7 @@ def _classes(source: DataFrame, n: int, threshold: float, bands: int, rows: int)
         yield out()
 
     spread = pairs.repartition(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
-    verified = common.cut(spread.mapInArrow(verify, "rep long, other long, links long"))
+    verified = common.cut(spread.mapInArrow(common.tidy(verify), "rep long, other long, links long"))
     counts = verified.filter("links > 0").groupBy("rep").agg(F.sum("links").alias("n_links"))
     roots = components(verified.filter("links = 0").select(F.col("rep").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("rep"), "root")
     named = classes.select("digest", "rep", "first", "n_copies").join(counts, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))

@@ -27,7 +27,7 @@ CAPACITY = 1024
 OPEN = 16
 GROUP = 64  # partitions whose leftovers, at most GROUP * OPEN windows of under CAPACITY tokens, meet in one task
 END_ID = 0
-CACHE = 200_000  # pre-tokens whose ids a worker remembers
+CACHE = 50_000  # pre-tokens whose ids a worker remembers
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, part long"
 
@@ -166,7 +166,7 @@ def packed(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, open
     _, special = vocabulary(vocabulary_path)
     shared = docs.sparkSession.sparkContext.broadcast(PreTokenizer(special))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = common.cut(rows.mapInArrow(_pack(shared, vocabulary_path, capacity, open_windows), PIECE))
+    made = common.cut(rows.mapInArrow(common.tidy(_pack(shared, vocabulary_path, capacity, open_windows)), PIECE))
     left = made.filter("sequence_id is null").groupBy(F.floor(F.col("part") / GROUP).alias("g")).applyInArrow(_merge(capacity), PIECE)
     return made.filter("sequence_id is not null").unionByName(left).drop("part")
 

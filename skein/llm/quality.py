@@ -76,7 +76,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(x, pa.int64()) for x in found], keep + names)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
-    return docs.mapInArrow(run, ", ".join([*fields, MEASURES]))
+    return docs.mapInArrow(common.tidy(run), ", ".join([*fields, MEASURES]))
 
 
 def _shares() -> dict:

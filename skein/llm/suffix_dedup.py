@@ -29,7 +29,7 @@ from . import common
 
 WIDTH = 200
 GRAM = 64
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 RUN = 50_000  # entries that a task sorts into one run
 PAIRWISE = 12  # distinct contexts of a group that are compared in pairs; more are compared by their windows
 
@@ -53,16 +53,21 @@ def anchors(raw: np.ndarray, firsts: np.ndarray, lens: np.ndarray, width: int, g
     if not total:
         return (np.zeros(0, np.int64),) * 5
     p, inverse = common.powers(len(raw) + 1)
+    sums = common.rolling(raw, p)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[: len(raw)], out=sums[1:])
-        h = common.mix((sums[gram:] - sums[:-gram]) * inverse[: len(raw) - gram + 1])
-    place = np.arange(len(h), dtype=np.uint64)
+        h = sums[gram:] - sums[:-gram]
+        h *= inverse[: len(h)]
+        h = common.mix(h)
+    del sums
     low = np.uint64(0xFFFFFFFF)
-    best = sliding_least((h & ~low) | (low - place), width - gram + 1)
+    best = h & ~low
+    best |= low - np.arange(len(h), dtype=np.uint64)
+    best = sliding_least(best, width - gram + 1)
+    chosen_at = (low - (best & low)).astype(np.uint32)
+    del best
     text = np.repeat(np.arange(len(lens)), starts)
     at = np.arange(total) - np.repeat(np.cumsum(starts) - starts, starts) + np.repeat(firsts, starts)
-    chosen = (low - (best[at] & low)).astype(np.int64)
+    chosen = chosen_at[at].astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1]))))
     last = np.append(new[1:], total) - 1
     own = text[new]
@@ -326,9 +331,9 @@ def removed_spans(parts: list[bytes]) -> list[tuple[int, int]]:
 def covered(source: DataFrame, width: int, gram: int) -> DataFrame:
     """``source`` (with rid and text) and ``covered``: packed spans of repeated bytes, null for none."""
     buckets = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = source.select("rid", "text").mapInArrow(_anchor_rows(buckets, width, gram), "bucket long, blob binary")
+    found = source.select("rid", "text").mapInArrow(common.tidy(_anchor_rows(buckets, width, gram)), "bucket long, blob binary")
     marks = found.groupBy("bucket").applyInArrow(_repeated, "rid long, marks binary").groupBy("rid").agg(F.collect_list("marks").alias("marks"))
-    runs = source.join(marks, "rid").select("rid", "text", "marks").mapInArrow(_run_rows(buckets, width, gram), "bucket long, blob binary")
+    runs = source.join(marks, "rid").select("rid", "text", "marks").mapInArrow(common.tidy(_run_rows(buckets, width, gram)), "bucket long, blob binary")
     spans = runs.groupBy("bucket").applyInArrow(_spans(width, gram), "rid long, covered binary").groupBy("rid").agg(F.collect_list("covered").alias("covered"))
     return source.join(spans, "rid", "left")
 
@@ -363,7 +368,7 @@ def report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
             )
 
     found = covered(source, width, gram).select("doc_id", "text", "covered")
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(common.tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -389,7 +394,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
                     columns.append(part.column(name))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    out = covered(source, width, gram).select(*schema.names, "covered").mapInArrow(run, schema)
+    out = covered(source, width, gram).select(*schema.names, "covered").mapInArrow(common.tidy(run), schema)
     return out.withColumnsRenamed({"__" + c: c for c in clashing})
 
 

@@ -146,13 +146,17 @@ def vocabulary(path: str):
 
 @lru_cache(4)
 def merger(path: str):
-    """A fast encoder of single pre-tokens by the same merges, or None if the file's ids don't follow its merges."""
+    """A fast encoder of single pre-tokens by the same merges, or None if the file's ids don't follow its merges; and the special strings.
+
+    The library's own tokenizer, some 40 MB, is loaded in a worker only where a pre-token needs it.
+    """
     import json
 
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model, special = file["model"], frozenset(x["content"] for x in file.get("added_tokens") or ())
     # fixed values: the byte-level alphabet, printable bytes as themselves and the others from code point 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     alphabet = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
@@ -160,16 +164,15 @@ def merger(path: str):
     order = [vocab["".join(m)] for m in merges]
     singles = [vocab.get(c, -1) for c in alphabet]
     if order != sorted(set(order)) or min(singles) < 0 or max(singles) > order[0] or model.get("ignore_merges"):
-        return None
+        return None, special
     kept = {*order, *singles}
     ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items() if i in kept}
-    return tiktoken.Encoding("merger", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("merger", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}), special
 
 
 def pieces(path: str, pretokens: list[str]) -> list[list[int]]:
     """The ids of each pre-token: by the merger where it is exact and fast, by the library itself for special and very long ones."""
-    t, special = vocabulary(path)
-    fast = merger(path)
+    fast, special = merger(path)
     out: list = [None] * len(pretokens)
     slow = []
     for i, x in enumerate(pretokens):
@@ -179,7 +182,7 @@ def pieces(path: str, pretokens: list[str]) -> list[list[int]]:
             out[i] = fast.encode_ordinary(x)
     for i in range(0, len(slow), 10_000):
         some = slow[i : i + 10_000]
-        for j, e in zip(some, t.encode_batch([pretokens[j] for j in some], add_special_tokens=False), strict=True):
+        for j, e in zip(some, vocabulary(path)[0].encode_batch([pretokens[j] for j in some], add_special_tokens=False), strict=True):
             out[j] = e.ids
     return out
 
@@ -317,6 +320,6 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 1024) -> Da
             {"doc_id": pa.array(head["ids"], pa.int64()), "n_bytes": pa.array(head["sizes"], pa.int64()), "n_tokens": sums, "over_limit": sums > limit}
         )
 
-    postings = rows.mapInArrow(_postings(shared, buckets), HEADS)
+    postings = rows.mapInArrow(common.tidy(_postings(shared, buckets)), HEADS)
     met = postings.groupBy("bucket").applyInArrow(join, HEADS)
     return met.groupBy("block").applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
