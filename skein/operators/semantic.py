@@ -40,6 +40,16 @@ def cosine_pairs(m: DataFrame) -> DataFrame:
     return met.select(*KEYS, "agent_a", "agent_b", F.coalesce(F.col("dot") / (F.col("norm_a") * F.col("norm_b")), F.lit(0.0)).alias("cosine"))
 
 
+def average_similarity(m: DataFrame) -> DataFrame:
+    """The mean cosine over a team's pairs of members, without the pairs: of n unit vectors it is (the squared length of their sum, less n) over n (n - 1)."""
+    g = counted(m, "trigram")
+    norm = g.groupBy(*KEYS, "agent").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
+    total = g.join(norm, [*KEYS, "agent"]).groupBy(*KEYS, "gram").agg(F.sum(F.col("c") / F.col("norm")).alias("s")).groupBy(*KEYS).agg(F.sum(F.col("s") * F.col("s")).alias("squared"))
+    n = F.col("n")
+    met = total.join(norm.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), KEYS).filter("n > 1")
+    return met.select(*KEYS, F.greatest(F.lit(0.0), (F.col("squared") - n) / (n * (n - 1))).alias("similarity"))
+
+
 def vocabulary_overlap(m: DataFrame) -> DataFrame:
     t = counted(m, "term")
     n = t.groupBy(*KEYS).agg(F.countDistinct("agent").alias("n_members"))

@@ -33,21 +33,32 @@ def degrees(m: DataFrame) -> DataFrame:
 
 
 def degree_stats(m: DataFrame) -> DataFrame:
+    """The skew, deviation over maximum, comes from integer sums: the same in any order of rows."""
     d = degrees(m).withColumn("total", F.col("n_in") + F.col("n_out"))
-    skew = F.when((F.count(F.lit(1)) > 1) & (F.max("total") > 0), F.stddev_pop("total") / F.max("total")).otherwise(0.0)
+    n, total, squares = F.count(F.lit(1)), F.sum("total"), F.sum(F.col("total") * F.col("total"))
+    skew = F.when((n > 1) & (F.max("total") > 0), F.sqrt(n * squares - total * total) / (n * F.max("total"))).otherwise(0.0)
     return d.groupBy(*KEYS).agg(F.max("n_out").alias("max_out"), F.max("n_in").alias("max_in"), F.avg("total").alias("avg_degree"), skew.alias("degree_skew"))
 
 
 def clustering(m: DataFrame) -> DataFrame:
-    """Mean share of linked neighbour pairs over members, 0 under two neighbours or three members."""
+    """Mean share of linked neighbour pairs over members, 0 under two neighbours or three members. An agent that writes to itself is a
+    neighbour of its own, linked to each of the others.
+
+    Edges point from the agent of the lesser degree to that of the greater, so a hub with all its peers makes no wedges; each triangle is found
+    once and counts for its three corners.
+    """
     und = m.filter("sender != receiver").select(*KEYS, F.least("sender", "receiver").alias("u"), F.greatest("sender", "receiver").alias("v")).distinct()
-    both = und.unionByName(und.select(*KEYS, F.col("v").alias("u"), F.col("u").alias("v")))
-    k = both.groupBy(*KEYS, F.col("u").alias("agent")).agg(F.count(F.lit(1)).alias("k"))
-    e1, e2 = both.select(*KEYS, F.col("u").alias("agent"), F.col("v").alias("x")), both.select(*KEYS, F.col("u").alias("agent"), F.col("v").alias("y"))
-    tri = e1.join(e2, [*KEYS, "agent"]).filter("x < y").join(und.select(*KEYS, F.col("u").alias("x"), F.col("v").alias("y")), [*KEYS, "x", "y"])
-    tri = tri.groupBy(*KEYS, "agent").agg(F.count(F.lit(1)).alias("tri"))
-    own = members(m).join(k, [*KEYS, "agent"], "left").join(tri, [*KEYS, "agent"], "left")
-    c = F.when(F.col("k") >= 2, F.coalesce("tri", F.lit(0)) / (F.col("k") * (F.col("k") - 1) / 2)).otherwise(0.0)
+    k = und.select(*KEYS, F.explode(F.array("u", "v")).alias("agent")).groupBy(*KEYS, "agent").agg(F.count(F.lit(1)).alias("k"))
+    loops = m.filter("sender = receiver").select(*KEYS, F.col("sender").alias("agent"), F.lit(1).alias("loop")).distinct()
+    degree = lambda c: k.select(*KEYS, F.struct(F.col("k"), F.col("agent")).alias(c), F.col("agent").alias(c[1:]))
+    ranked = und.join(degree("_u"), [*KEYS, "u"]).join(degree("_v"), [*KEYS, "v"])
+    out = ranked.select(*KEYS, F.least("_u", "_v").alias("x"), F.greatest("_u", "_v").alias("y"))
+    wedge = out.join(out.select(*KEYS, "x", F.col("y").alias("z")), [*KEYS, "x"]).filter("y < z")
+    found = wedge.join(out.select(*KEYS, F.col("x").alias("y"), F.col("y").alias("z")), [*KEYS, "y", "z"])
+    tri = found.select(*KEYS, F.explode(F.array("x.agent", "y.agent", "z.agent")).alias("agent")).groupBy(*KEYS, "agent").agg(F.count(F.lit(1)).alias("tri"))
+    own = members(m).join(k, [*KEYS, "agent"], "left").join(loops, [*KEYS, "agent"], "left").join(tri, [*KEYS, "agent"], "left").na.fill(0, ["k", "loop", "tri"])
+    n = F.col("k") + F.col("loop")
+    c = F.when(n >= 2, (F.col("tri") + F.col("loop") * F.col("k")) / (n * (n - 1) / 2)).otherwise(0.0)
     return own.groupBy(*KEYS).agg(F.when(F.count(F.lit(1)) >= 3, F.avg(c)).otherwise(0.0).alias("clustering"))
 
 
