@@ -31,14 +31,21 @@ FROM docs d LEFT JOIN hit h ON d.rid = h.rid LEFT JOIN listed l ON d.rid = l.rid
 """
 
 _GAMMA = (1 + quality.ACCURACY) / (1 - quality.ACCURACY)
-_FLOORS = ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in quality.FLOORS.items())
+
+
+def _wide(q: str) -> str:
+    """A quantile of the language, or of the whole table where the language is rare."""
+    return f"CASE WHEN l.n_rows >= {quality.MIN_ROWS} THEN l.{q} ELSE a.{q} END"
+
+
+_GUARD = " ".join(f"WHEN '{k}' THEN {_wide(q)}" for k, q in quality.GUARD.items())
 
 
 def _fences(name: str, keys: str) -> str:
     """Quantiles of the grid buckets of each group and measure."""
     return f"""
 {name} AS (
-    SELECT {keys} measure, max(total) AS n_rows, min(CASE WHEN upto >= ceil(total * 0.5) THEN v END) AS q50, min(CASE WHEN upto >= ceil(total * 0.75) THEN v END) AS q75
+    SELECT {keys} measure, max(total) AS n_rows, {', '.join(f'min(CASE WHEN upto >= ceil(total * {q!r}::DOUBLE) THEN v END) AS {name}' for name, q in quality.QUANTILES.items())}
     FROM (
         SELECT {keys} measure, CASE WHEN bucket IS NULL THEN 0.0::DOUBLE ELSE pow({_GAMMA!r}::DOUBLE, bucket) * {2 / (_GAMMA + 1)!r}::DOUBLE END AS v,
             sum(n) OVER (PARTITION BY {keys} measure ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY {keys} measure) AS total
@@ -69,15 +76,13 @@ shares AS (
 ),
 buckets AS (SELECT lang, source, measure, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / {math.log(_GAMMA)!r}::DOUBLE) AS INT) END AS bucket FROM shares),
 {_fences("fine", "lang, source,")}, {_fences("by_lang", "lang,")}, {_fences("whole", "")},
-floors(measure, least_fence) AS (VALUES {_FLOORS}),
 picked AS (
-    SELECT f.lang, f.source, f.measure, p.least_fence,
-        CASE WHEN f.n_rows >= {quality.MIN_ROWS} THEN f.q50 WHEN l.n_rows >= {quality.MIN_ROWS} THEN l.q50 ELSE a.q50 END AS q50,
-        CASE WHEN f.n_rows >= {quality.MIN_ROWS} THEN f.q75 WHEN l.n_rows >= {quality.MIN_ROWS} THEN l.q75 ELSE a.q75 END AS q75
-    FROM fine f JOIN by_lang l ON f.lang IS NOT DISTINCT FROM l.lang AND f.measure = l.measure JOIN whole a ON f.measure = a.measure JOIN floors p ON f.measure = p.measure
+    SELECT f.lang, f.source, f.measure, CASE f.measure {_GUARD} END AS guard,
+        CASE WHEN f.n_rows >= {quality.MIN_ROWS} THEN f.q50 ELSE {_wide("q50")} END AS q50, CASE WHEN f.n_rows >= {quality.MIN_ROWS} THEN f.q75 ELSE {_wide("q75")} END AS q75
+    FROM fine f JOIN by_lang l ON f.lang IS NOT DISTINCT FROM l.lang AND f.measure = l.measure JOIN whole a ON f.measure = a.measure
 ),
 verdict AS (
-    SELECT s.rid, bool_and(s.x <= greatest(p.least_fence, p.q50 + {quality.SPREAD!r}::DOUBLE * (p.q75 - p.q50))) AS inside
+    SELECT s.rid, bool_and(s.x <= greatest(p.guard, p.q50 + {quality.SPREAD!r}::DOUBLE * greatest(p.q75 - p.q50, {2 * quality.ACCURACY!r}::DOUBLE * p.q50)) / {1 - quality.ACCURACY!r}::DOUBLE) AS inside
     FROM shares s JOIN picked p ON s.measure = p.measure AND s.lang IS NOT DISTINCT FROM p.lang AND s.source IS NOT DISTINCT FROM p.source GROUP BY s.rid
 ),
 based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured)

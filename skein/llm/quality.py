@@ -2,8 +2,11 @@
 
 A sketch is the bucket counts of a measure on a fixed grid with a relative error of ``ACCURACY``: sketches of any parts of the
 data merge by adding counts, in any order, with the same result. The counts are made before the shuffle, so a source with a
-third of all rows costs one row per bucket and task. Each (language, source) takes its upper fence from its own sketch, or from
-its language's or the whole table's where it has fewer than ``min_rows`` documents; rows join their thresholds and are filtered.
+third of all rows costs one row per bucket and task. Each (language, source) has a fence for each measure: its median plus ``SPREAD``
+times the distance to its upper quartile (what the sketch can't tell apart counts as distance), both from its own sketch, or from its language's or the whole table's where it has fewer than
+``min_rows`` documents. A source whose spread is nil would lose every row that isn't like its median, so no fence lies under the
+``GUARD`` quantile of its language (of the whole table, for a rare language). No threshold is a fixed value. A document stays while
+it lies in the fence's bucket or below: ties at the fence stay. Rows join their thresholds and are filtered.
 
 Base measures: words are the runs of ``[^\\x20\\x09-\\x0D]``; see ``measures``. A text fails at base if it has under 10 words or
 more than a fifth of its words lie in repeated 5-word windows. Defined cases: a null text has no words (base_failed); null lang
@@ -23,11 +26,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ACCURACY = 0.02
+ACCURACY = 0.005
 MIN_ROWS = 50
-#: Shares below these are never a reason to reject, however clean the rest of a source is.
-FLOORS = {"symbol_share": 0.05, "dup_line_share": 0.50, "word_length": 15.0}
-SPREAD = 6.0  # fence: median + SPREAD * (upper quartile - median), and no less than the floor
+SPREAD = 8.0  # fence: median + SPREAD * (upper quartile - median), and no less than the language's guard
+QUANTILES = {"q50": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95, "q99": 0.99}
+#: The quantile of its language under which no measure is a reason to reject.
+GUARD = {"symbol_share": "q90", "dup_line_share": "q99", "word_length": "q95"}
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 _SYMBOLS = b"#*$%&|<>"
@@ -115,22 +119,22 @@ def quantiles(sketch: DataFrame, keys: list[str], at: dict[str, float]) -> DataF
 def thresholds(rows: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """lang, source, and an upper fence for each measure."""
     own = sketches(rows, ["lang", "source"])
-    at = {"q50": 0.5, "q75": 0.75}
-    fine, by_lang, all_rows = quantiles(own, ["lang", "source"], at), quantiles(own, ["lang"], at), quantiles(own, [], at)
-    names = ("n_rows", "q50", "q75")
+    fine, by_lang, all_rows = (quantiles(own, keys, QUANTILES) for keys in (["lang", "source"], ["lang"], []))
+    names = ("n_rows", *QUANTILES)
     as_ = lambda df, p: df.select(*[c for c in ("lang", "measure") if c in df.columns], *[F.col(n).alias(p + n) for n in names])
     lang = as_(by_lang, "l_").withColumnsRenamed({"lang": "l_lang", "measure": "l_measure"})
     whole = as_(all_rows, "a_")
     joined = fine.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))).join(whole, "measure")
-    pick = lambda n: F.when(F.col("n_rows") >= min_rows, F.col(n)).when(F.col("l_n_rows") >= min_rows, F.col("l_" + n)).otherwise(F.col("a_" + n))
-    floor = F.coalesce(*[F.when(F.col("measure") == k, F.lit(v)) for k, v in FLOORS.items()])
-    fence = F.greatest(floor, pick("q50") + SPREAD * (pick("q75") - pick("q50")))
-    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, fence)).alias("max_" + k) for k in FLOORS])
+    wide = lambda n: F.when(F.col("l_n_rows") >= min_rows, F.col("l_" + n)).otherwise(F.col("a_" + n))
+    pick = lambda n: F.when(F.col("n_rows") >= min_rows, F.col(n)).otherwise(wide(n))
+    guard = F.coalesce(*[F.when(F.col("measure") == k, wide(q)) for k, q in GUARD.items()])
+    spread = F.greatest(pick("q75") - pick("q50"), 2 * ACCURACY * pick("q50"))
+    fence = F.greatest(guard, pick("q50") + SPREAD * spread) / (1 - ACCURACY)  # the upper end of a bucket
+    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, fence)).alias("max_" + k) for k in GUARD])
 
 
-def judged(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """doc_id, lang, source, the measures, base_failed, kept, and the fences applied."""
-    rows = common.cut(measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "text")))
+def _judge(rows: DataFrame, min_rows: int) -> DataFrame:
+    """``rows`` with their measures, and base_failed, kept, and the fences applied."""
     limits = thresholds(rows, min_rows).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     met = rows.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -140,5 +144,19 @@ def judged(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     return met.withColumn("base_failed", base).withColumn("kept", ~base & F.coalesce(inside, F.lit(True))).drop("t_lang", "t_source")
 
 
+def judged(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """doc_id, lang, source, the measures, base_failed, kept, and the fences applied."""
+    return _judge(common.cut(measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "text"))), min_rows)
+
+
+def filtered(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns as they are."""
+    clashing = {"rid": "__rid"} if "rid" in docs.columns else {}
+    docs = common.with_row_id(docs.withColumnsRenamed(clashing))
+    rows = common.cut(measured(docs.select("rid", "lang", "source", "text")))
+    keep = _judge(rows, min_rows).filter("kept").select("rid")
+    return docs.join(keep, "rid", "left_semi").drop("rid").withColumnsRenamed({v: k for k, v in clashing.items()})
+
+
 def report(docs: DataFrame) -> DataFrame:
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
