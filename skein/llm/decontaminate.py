@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from . import common
 
 N = 10
-MAX_BROADCAST_WORDS = 4_000_000  # words of all items; at most some 200 MB in a worker. Beyond it the items go in shards of that size
+MAX_BROADCAST_WORDS = 1_000_000  # words of all items: at most some 100 MB in a worker. Windows of more meet the documents' in a shuffle
+GRAM_ROWS = 100_000  # windows of texts in one batch of that shuffle
+_JAVA_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -94,65 +96,101 @@ def _scan(windows: WindowSet, batches: Iterator[pa.RecordBatch]) -> Iterator[tup
         yield part, found
 
 
-def _shards(benchmark: DataFrame, n: int) -> Iterator[WindowSet]:
-    """Window sets over items of at most MAX_BROADCAST_WORDS words at a time, streamed to the driver."""
-    held, size = [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        item = None if row[0] is None else str(row[0])
-        got = len(words(row[1]))
-        if held and size + got > MAX_BROADCAST_WORDS:
-            yield WindowSet(held, n)
-            held, size = [], 0
-        held.append((item, row[1]))
-        size += got
-    yield WindowSet(held, n)
+def _items(benchmark: DataFrame) -> list[tuple[str | None, str | None]] | None:
+    """The items, or None where they hold more than MAX_BROADCAST_WORDS words. Words are counted on the executors, so no more than that comes here."""
+    text = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n = benchmark.agg(F.sum(F.regexp_count(text, F.lit(_JAVA_WORD))).alias("n")).first()["n"]
+    if (n or 0) > MAX_BROADCAST_WORDS:
+        return None
+    return [(None if r[0] is None else str(r[0]), r[1]) for r in benchmark.select("item_id", "text").toLocalIterator()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items (sorted), spans of hit words.
 
-    The items go to the executors as one broadcast while they hold at most MAX_BROADCAST_WORDS words. More are scanned for in
-    shards of that size, one pass over the documents each; the passes' hits meet in a shuffle by row.
+    The items go to the executors as one broadcast while they hold at most MAX_BROADCAST_WORDS words; the windows of more meet the documents'
+    in a shuffle (``_joined``), with the same rows.
     """
-    schema = "rid long, doc_id long, n_words long, items array<string>, spans array<struct<start:long,stop:long>>"
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def scan(shared):
-        def run(batches):
-            for part, found in _scan(shared.value, batches):
-                spans = []
-                for _, hit, _ in found:
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-                    spans.append([{"start": a, "stop": b} for a, b in edge.reshape(-1, 2).tolist()])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("rid"),
-                        part.column("doc_id"),
-                        pa.array([x[0] for x in found], pa.int64()),
-                        pa.array([x[2] for x in found], pa.list_(pa.string())),
-                        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                    ],
-                    ["rid", "doc_id", "n_words", "items", "spans"],
-                )
-
-        return run
-
-    passes = [rows.mapInArrow(scan(spark.sparkContext.broadcast(w)), schema) for w in _shards(benchmark, n)]
-    if len(passes) == 1:
-        return passes[0].drop("rid")
-    out = passes[0]
-    for x in passes[1:]:
-        out = out.unionByName(x)
-    return (
-        out.groupBy("rid", "doc_id", "n_words")
-        .agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        )
-        .withColumn("spans", _merged())
-        .drop("rid")
-    )
+    schema = "doc_id long, n_words long, items array<string>, spans array<struct<start:long,stop:long>>"
+    items = _items(benchmark)
+    if items is None:
+        return _joined(docs, benchmark, n)
+    shared = docs.sparkSession.sparkContext.broadcast(WindowSet(items, n))
+
+    def run(batches):
+        for part, found in _scan(shared.value, batches):
+            spans = []
+            for _, hit, _ in found:
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+                spans.append([{"start": a, "stop": b} for a, b in edge.reshape(-1, 2).tolist()])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    pa.array([x[0] for x in found], pa.int64()),
+                    pa.array([x[2] for x in found], pa.list_(pa.string())),
+                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+                ],
+                ["doc_id", "n_words", "items", "spans"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.tidy(run), schema)
+
+
+def _grams(df: DataFrame, keep: list[str], sizes: list[int] | None, n: int) -> DataFrame:
+    """keep, at, size, gram: the windows of each text; of sizes 1 to n for documents (``sizes``), of the item's own size for items (None)."""
+
+    def run(batches):
+        for part in common.chunks(batches):
+            at, size, gram, row = [], [], [], []
+
+            def out(part=part, at=at, size=size, gram=gram, row=row):
+                take = pa.array(row, pa.int64())
+                made = pa.RecordBatch.from_arrays([*[part.column(c).take(take) for c in keep], pa.array(at, pa.int64()), pa.array(size, pa.int64()), pa.array(gram, pa.binary())], [*keep, "at", "size", "gram"])
+                for x in (at, size, gram, row):
+                    x.clear()
+                return made
+
+            for i, t in enumerate(common.encoded(part.column("text"))):
+                w = t.translate(common.WORD_TABLE).split()
+                for k in sizes or ([min(n, len(w))] if w else []):
+                    for p in range(len(w) - k + 1):
+                        row.append(i)
+                        at.append(p)
+                        size.append(k)
+                        gram.append(b" ".join(w[p : p + k]))
+                        if len(row) >= GRAM_ROWS:
+                            yield out()
+            yield out()
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.select(*keep, "text").mapInArrow(common.tidy(run), ", ".join([*[f"{c} {kinds[c]}" for c in keep], "at long, size long, gram binary"]))
+
+
+def _found(rows: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """rid, at, size, items: the windows of ``rows`` (rid, text) that are some item's. A window's items are one row before the join, and a window that
+    many documents hold meets one such row, so the join is a plain shuffle whose hot windows AQE can split."""
+    items = _grams(benchmark.select(F.col("item_id").cast("string").alias("item"), "text"), ["item"], None, n)
+    known = common.cut(items.groupBy("gram", "size").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # n numbers at most
+    return _grams(rows, ["rid"], sizes or [n], n).join(known.hint("merge"), ["gram", "size"]).select("rid", "at", "size", "items")
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """``contamination`` for a benchmark of any size."""
+    rows = common.with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    hits = _found(rows.select("rid", "text"), benchmark, n).groupBy("rid").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop")))).alias("spans"),
+    ).withColumn("spans", _merged())
+
+    def count(batches):
+        for part in common.chunks(batches):
+            n_words = [len(t.translate(common.WORD_TABLE).split()) for t in common.encoded(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(n_words, pa.int64())], ["rid", "doc_id", "n_words"])
+
+    counted = rows.mapInArrow(common.tidy(count), "rid long, doc_id long, n_words long")
+    none = lambda c: F.coalesce(F.col(c), F.expr(f"cast(array() as {hits.schema[c].dataType.simpleString()})")).alias(c)
+    return counted.join(hits, "rid", "left").select("doc_id", "n_words", none("items"), none("spans"))
 
 
 def _merged():
@@ -179,17 +217,20 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """The rows of ``docs`` whose text holds no window of ``benchmark``, in one pass per shard and with their columns as they are."""
-    spark, out = docs.sparkSession, docs
-    for w in _shards(benchmark, n):
-        shared = spark.sparkContext.broadcast(w)
-
-        def run(batches, shared=shared):
-            for part, found in _scan(shared.value, batches):
-                yield part.filter(pa.array([not hit.any() for _, hit, _ in found], pa.bool_()))
-
-        out = out.mapInArrow(common.tidy(run), out.schema)
-    return out
+    """The rows of ``docs`` whose text holds no window of ``benchmark``, with their columns as they are."""
+    items = _items(benchmark)
+    if items is None:
+        clashing = {"rid": "__rid"} if "rid" in docs.columns else {}
+        rows = common.with_row_id(docs.withColumnsRenamed(clashing))
+        hit = _found(rows.select("rid", "text"), benchmark, n).select("rid").distinct()
+        return rows.join(hit, "rid", "left_anti").drop("rid").withColumnsRenamed({v: k for k, v in clashing.items()})
+    shared = docs.sparkSession.sparkContext.broadcast(WindowSet(items, n))
+
+    def run(batches):
+        for part, found in _scan(shared.value, batches):
+            yield part.filter(pa.array([not hit.any() for _, hit, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(common.tidy(run), docs.schema)
 
 
 def brute(docs: list[tuple], items: list[tuple], n: int = N) -> list[tuple]:

@@ -17,7 +17,8 @@ def test_against_every_window(spark, monkeypatch):
     assert kept.columns == docs.columns
     clean = [r[0] for r in want if not r[5]]
     assert sorted(r.doc_id for r in kept.collect()) == clean
-    monkeypatch.setattr(D, "MAX_BROADCAST_WORDS", 4)  # several shards give the same
+    monkeypatch.setattr(D, "MAX_BROADCAST_WORDS", 4)  # the shuffle gives the same
+    monkeypatch.setattr(D, "GRAM_ROWS", 50)
     assert sorted(map(tuple, D.digest(D.contamination(docs, items)).collect()), key=key) == want
     assert sorted(r.doc_id for r in D.remove_contaminated(docs, items).collect()) == clean
 
@@ -27,3 +28,14 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:4] for r in D.digest(D.contamination(docs, none)).collect()] == [(1, 2, 0, 0)]
     assert D.digest(D.contamination(docs.limit(0), none)).collect() == []
+    assert D.remove_contaminated(docs, none).count() == 1 and D.remove_contaminated(docs.limit(0), none).count() == 0
+
+
+def test_shuffle_with_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(D, "MAX_BROADCAST_WORDS", -1)
+    test_empty_tables(spark)
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "y"), (2, "c", "z")], "doc_id long, text string, rid string")
+    items = spark.createDataFrame([(7, "A b!")], "item_id long, text string")
+    kept = D.remove_contaminated(docs, items)
+    assert kept.schema == docs.schema and [tuple(r) for r in kept.collect()] == [(2, "c", "z")]
+    assert sorted(tuple(r)[:4] for r in D.digest(D.contamination(docs, items)).collect()) == [(1, 2, 2, 1), (1, 2, 2, 1), (2, 1, 0, 0)]
