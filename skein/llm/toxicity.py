@@ -3,7 +3,9 @@
 A word's input is its own embedding (words of the training sample; others share one) and the mean of the embeddings of its
 hashed character trigrams. A text is scored on overlapping windows that cover all of its words; its score is that of its worst
 window, calibrated on the training texts. Training is multiple-instance: the label of a text trains its currently worst window.
-The fitted sample holds at most ``SAMPLE`` labelled rows of each label, the first by hash of doc_id.
+The fitted sample holds at most ``SAMPLE`` labelled documents of each label, the first by hash of doc_id, one text of each; of a text of
+more than ``SAMPLE_WORDS`` words it holds that many, in whole windows at even distances from its first word to its last. So at most
+2 * SAMPLE * SAMPLE_WORDS words come to the driver, cut on the executors.
 
 Defined cases: a null or wordless text scores 0; rows without a label, or with a null one, teach nothing; several labels of one
 doc_id count as toxic if any is; with no labelled row of one of the labels every score is 0; a null doc_id counts as the empty
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 from .langid import held_out
 
-SAMPLE = 1500
-SAMPLE_BYTES = 40_000  # a longer text isn't taken into the training sample; scoring takes every text whole
+SAMPLE = 1500  # labelled documents of each label that training takes at most
+SAMPLE_WORDS = 4096  # of a longer text training takes this many words, in windows spread evenly over the whole text; scoring takes every text whole
 WINDOW, STRIDE = 32, 24
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 VOCABULARY, BUCKETS = 20_000, 1 << 12
@@ -230,6 +232,16 @@ def train(rows: list[tuple[str, int]], rounds: int = 2, epochs: int = 5, batch:
     return net
 
 
+def shortened(text: str | None) -> str | None:
+    """A text of at most SAMPLE_WORDS words; of a longer one, windows at even distances, with all words between one's first and its last."""
+    found = list(_WORD.finditer(text or ""))
+    if len(found) <= SAMPLE_WORDS:
+        return text
+    n = SAMPLE_WORDS // WINDOW
+    starts = [i * (len(found) - WINDOW) // (n - 1) for i in range(n)]
+    return "\n".join(text[found[s].start() : found[s + WINDOW - 1].end()] for s in starts)
+
+
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple[str, int]]:
     """At most ``most`` labelled training texts of each label; only their ids, a bounded number, are broadcast."""
     spark = docs.sparkSession
@@ -239,9 +251,15 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple
     if not ids:
         return []
     chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length("text") <= SAMPLE_BYTES).join(chosen, "doc_id")
-    found = sorted({(r.doc_id, r.text, r.toxic) for r in rows.collect()})
-    return [(t, y) for _, t, y in found]
+
+    def cut(batches):
+        for part in common.chunks(batches):
+            texts = pa.array([shortened(t) for t in part.column("text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), texts], ["doc_id", "toxic", "text"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "toxic", "text")
+    short = rows.mapInArrow(common.tidy(cut), "doc_id long, toxic int, text string").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    return [(r.text, r.toxic) for r in sorted(short.collect())]
 
 
 def scored(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -255,5 +273,5 @@ def scored(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFram
             got = shared.value.scores(texts) if shared.value else [0.0] * len(texts)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got, pa.float64())], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.tidy(run), "doc_id long, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))

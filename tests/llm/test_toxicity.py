@@ -57,3 +57,13 @@ def test_held_out_accuracy(spark):
     assert len(held) > 150 and np.mean([p == c for p, c in held]) > 0.95
     assert X.scored(docs.limit(0), labels).collect() == []
     assert {r.score for r in X.scored(docs, labels.filter("toxic = 0")).collect()} == {0.0}
+
+
+def test_the_sample_is_bounded_and_takes_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(20_000))
+    got = X.shortened(long).split()
+    assert len(got) <= X.SAMPLE_WORDS and got[0] == "w0" and got[-1] == "w19999" and X.shortened("a b") == "a b" and X.shortened(None) is None
+    docs = spark.createDataFrame([(i % 8, long if i % 2 else f"text {i}") for i in range(64)] + [(None, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] + [(5, 1), (None, 1), (6, None)], "doc_id long, toxic int")
+    rows = X.sample(docs, labels)
+    assert len(rows) <= 8 and any(y == 1 and len(t) > 1000 for t, y in rows) and all(len(t.split()) <= X.SAMPLE_WORDS for t, _ in rows)
