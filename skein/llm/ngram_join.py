@@ -2,10 +2,11 @@
 
 A document's n-grams are its ``N``-word shingles (a text of fewer words is one shingle). Documents with equal sets are one class
 from the start; only its representative goes on. Bands and rows are chosen for the target recall at the threshold
-(``banding``). The shuffle is on band hashes; every representative is tied to the least one of each of its buckets, so
-a bucket gives one edge per member and never its pairs. The tied groups are split into blocks of about ``BLOCK`` members, and each
-pair of blocks is verified in a task of its own on the full sets: every pair inside a group is compared, whatever its size,
-and only link counts and a spanning forest leave the task. Classes are the connected components of the verified links.
+(``banding``). The shuffle is on band hashes, and pairs are verified bucket by bucket on the full sets, each at the first band that its
+two sides share, so links are counted once and nothing is compared that shares no band. A bucket with the members of an earlier
+one is dropped. A bucket is split into blocks of at most ``BLOCK`` sets and ``BLOCK_BYTES``, and each pair of blocks is a group of its own
+that tasks share out: every pair inside a bucket is compared, whatever its size, and only link counts and a spanning forest leave the
+task. Classes are the connected components of the verified links.
 
 Defined cases: a null or wordless text has no n-grams, no links and a class of its own; a null doc_id takes part, and a class is
 named by its least doc_id that isn't null; repeated rows are copies; an empty table gives an empty result; further columns pass
@@ -30,6 +31,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 128
 BLOCK = 256
+BLOCK_BYTES = 4 << 20
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -69,8 +71,9 @@ def signatures(texts: list[bytes], n: int, bands: int, rows: int) -> tuple[list,
     return digest, out, size
 
 
-def linked(sets: list[np.ndarray], left: list[int], right: list[int] | None, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links among ``left``, or between ``left`` and ``right``: each set's number of links, and the edges of a spanning forest."""
+def linked(sets: list[np.ndarray], left: list[int], right: list[int] | None, threshold: float, bands: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links among ``left``, or between ``left`` and ``right``: each set's number of links, and the edges of a spanning forest. Pairs that share
+    one of ``bands`` (set, band) are left out."""
     n = np.array([len(s) for s in sets])
     values = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), n)
@@ -92,6 +95,8 @@ def linked(sets: list[np.ndarray], left: list[int], right: list[int] | None, thr
         m[owner[p:q], column[p:q] - begin] = 1
         both += m[a] @ m[b].T
     link = both * (1 + threshold) >= threshold * (n[a][:, None] + n[b][None, :]) - 1e-9
+    for k in range(0 if bands is None else bands.shape[1]):
+        link &= bands[a, k][:, None] != bands[b, k][None, :]
     if right is None:
         np.fill_diagonal(link, False)
     counts = np.zeros(len(sets), np.int64)
@@ -164,30 +169,33 @@ def _classes(source: DataFrame, n: int, threshold: float, bands: int, rows: int)
 
     signed = common.cut(source.mapInArrow(common.tidy(sign), "rid long, doc_id long, digest binary, bands array<long>, n_grams long"))
     # classes of equal sets; made before the shuffle, so many copies cost one row per task
-    least = F.min(F.struct("rid", "bands")).alias("least")
+    least = F.min(F.struct("rid", "bands", "n_grams")).alias("least")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
     classes = signed.filter("digest is not null").groupBy("digest").agg(least, first, F.count(F.lit(1)).alias("n_copies"))
-    classes = common.cut(classes.select("digest", F.col("least.rid").alias("rep"), F.col("least.bands").alias("bands"), "first", "n_copies"))
-    buckets = classes.select("rep", F.explode("bands").alias("h"))
-    hubs = buckets.groupBy("h").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("h", "hub")
-    tied = buckets.join(hubs, "h").select(F.col("hub").alias("u"), F.col("rep").alias("v"))
-    groups = components(tied).select(F.col("node").alias("rep"), F.col("root").alias("g"))
-    sizes = groups.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    member = groups.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    classes = common.cut(classes.select("digest", F.col("least.rid").alias("rep"), F.col("least.bands").alias("bands"), F.col("least.n_grams").alias("n_grams"), "first", "n_copies"))
+    places = classes.select("rep", "n_grams", F.posexplode("bands").alias("band", "h"))
+    mark = F.xxhash64("rep")
+    buckets = places.groupBy("h", "band").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark)).alias("y"), F.sum("n_grams").alias("grams")).filter("m > 1")
+    # buckets of equal members: the first band's stays
+    buckets = buckets.groupBy("m", "x", "y", "grams").agg(F.min(F.struct("band", "h")).alias("b")).select(
+        F.col("b.h").alias("h"), F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(8 * F.col("grams") / BLOCK_BYTES)).cast("int").alias("blocks")
+    )
+    member = places.join(buckets, "h").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    member = member.groupBy("rep").agg(F.collect_list(F.struct("h", "band", "block", "blocks")).alias("at")).join(classes.select("rep", "bands"), "rep")  # a band each at most
 
     def sets(batches):
         for part in common.chunks(batches):
             h, first = common.shingles(common.encoded(part.column("text")), n)
             own = [np.unique(h[a:b]).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("g", "rep", "block", "blocks")], pa.array(own, pa.binary())], ["g", "rep", "block", "blocks", "grams"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("rep", "bands", "at")], pa.array(own, pa.binary())], ["rep", "bands", "at", "grams"])
 
     # one plan at every size: texts move once, whether or not the members would fit a broadcast today
-    with_sets = source.select("rid", "text").hint("merge").join(member, F.col("rid") == F.col("rep")).select("g", "rep", "block", "blocks", "text")
-    with_sets = with_sets.mapInArrow(common.tidy(sets), "g long, rep long, block int, blocks int, grams binary")
-    pairs = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "grams"
-    )
-    keys = ["g", "i", "j"]
+    with_sets = source.select("rid", "text").hint("merge").join(member, F.col("rid") == F.col("rep")).select("rep", "bands", "at", "text")
+    with_sets = with_sets.mapInArrow(common.tidy(sets), "rep long, bands array<long>, at array<struct<h:long,band:int,block:int,blocks:int>>, grams binary")
+    pairs = with_sets.select("rep", F.explode("at").alias("p"), "bands", "grams").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)))
+    before = F.slice("bands", F.lit(1), F.col("p.band"))  # the bands at which a pair would have met already
+    pairs = pairs.select(F.col("p.h").alias("h"), F.least("p.block", "other").alias("i"), F.greatest("p.block", "other").alias("j"), F.col("p.block").alias("block"), "rep", before.alias("before"), "grams")
+    keys = ["h", "i", "j"]
 
     def verify(batches):
         rep, root, links = [], [], []
@@ -203,15 +211,16 @@ def _classes(source: DataFrame, n: int, threshold: float, bands: int, rows: int)
             if len(own) < 2:
                 continue
             got = [np.frombuffer(r["grams"], np.uint64) for r in own]
+            earlier = np.array([r["before"] for r in own], np.int64)
             first = own[0]["i"]
             left = [k for k, r in enumerate(own) if r["block"] == first]
             right = [k for k, r in enumerate(own) if r["block"] != first]
             if first != own[0]["j"]:
                 if not left or not right:
                     continue
-                counts, forest = linked(got, left, right, threshold)
+                counts, forest = linked(got, left, right, threshold, earlier)
             else:
-                counts, forest = linked(got, left, None, threshold)
+                counts, forest = linked(got, left, None, threshold, earlier)
             for k in np.flatnonzero(counts).tolist():
                 rep.append(own[k]["rep"])
                 root.append(own[k]["rep"])
