@@ -68,25 +68,60 @@ def _envelopes(spark, d):
 @query(f"""WITH {MSG} SELECT seq, CASE WHEN seq % 4 < 2 THEN sender ELSE 'unknown' END AS sender, CASE WHEN seq % 4 < 2 THEN receiver ELSE 'unknown' END AS receiver,
  CASE WHEN seq % 4 = 3 THEN '{{broken ' || event_type ELSE event_type || ' end' END AS payload, CASE WHEN seq % 4 < 3 THEN 'message/send' END AS method, seq % 4 = 3 AS parse_error FROM msg""")
 def jsonrpc_extract(spark, d):
-    return _envelopes(spark, d).select("seq", *src.jsonrpc(F.col("raw")))
+    return _envelopes(spark, d).select("seq", *src.jsonrpc(F.col("raw"))[:5])
+
+
+@query(f"""WITH {MSG} SELECT seq, CASE WHEN seq % 8 = 0 THEN event_type || ' bare' WHEN seq % 8 = 1 THEN 'bare ' || event_type WHEN seq % 8 = 2 THEN '{{}}' WHEN seq % 8 = 3 THEN '{{"parts":[{{"type":"data"}}]}}'
+ WHEN seq % 8 = 4 THEN event_type WHEN seq % 8 = 5 THEN '{{}}' WHEN seq % 8 = 6 THEN ' end' ELSE '[' || seq END AS payload,
+ CASE WHEN seq % 8 = 7 THEN 'x-skein-parse-error=true' ELSE CASE WHEN seq % 8 = 0 THEN 'x-a2a-method=message/send;' ELSE '' END || 'x-a2a-protocol=a2a-0.3.0' || CASE WHEN seq % 8 IN (0, 1) THEN ';x-a2a-rpc-id=r' || seq ELSE '' END
+ || CASE WHEN seq % 8 = 2 THEN ';x-a2a-task-id=t' || seq ELSE '' END || ';x-a2a-transport=json-rpc' END AS headers FROM msg""")
+def jsonrpc_shapes(spark, d):
+    """Messages of text parts, bare strings, other parts, no parts, plain text and none at all, and what each puts into the headers."""
+    k, kind = F.col("seq").cast("string"), F.col("seq") % 8
+    raws = [
+        F.concat(F.lit('{"method":"message/send","id":"r'), k, F.lit('","params":{"message":{"parts":[{"type":"text","text":"'), F.col("event_type"), F.lit('"},"bare",{"type":"data"}]}}}')),
+        F.concat(F.lit('{"id":"r'), k, F.lit('","params":{"message":{"parts":["bare",{"type":"text","text":"'), F.col("event_type"), F.lit('"}]}}}')),
+        F.concat(F.lit('{"params":{"id":"t'), k, F.lit('"}}')),
+        F.lit('{"params":{"message":{"parts":[{"type":"data"}]}}}'),
+        F.concat(F.lit('{"params":{"message":"'), F.col("event_type"), F.lit('"}}')),
+        F.lit('{"method":"","id":"","params":{"message":{}}}'),
+        F.lit('{"params":{"message":{"parts":[{"type":"text"},{"type":"text","text":"end"},7]}}}'),
+        F.concat(F.lit("["), k),
+    ]
+    raw = F.coalesce(*[F.when(kind == i, x) for i, x in enumerate(raws)])
+    found = src.jsonrpc(raw)
+    return _messages(spark, d).select("seq", found[2], src.listed(found[5]).alias("headers"))
 
 
 @query(f"""WITH {MSG} SELECT seq, CASE WHEN seq % 3 = 0 THEN 'unknown' ELSE sender END AS sender, receiver, CASE WHEN seq % 5 = 0 THEN '<binary:2bytes>' ELSE payload END AS payload,
- CASE WHEN seq % 3 = 0 THEN 1 ELSE 2 END AS n_headers FROM msg""")
+ CASE WHEN seq % 3 = 0 THEN 3 ELSE 4 END AS n_headers FROM msg""")
 def grpc_extract(spark, d):
     m = _messages(spark, d)
     headers = F.map_filter(F.create_map(F.lit("X-A2A-Receiver-Agent-Id"), F.col("receiver"), F.lit("x-a2a-sender-agent-id"), F.when(F.col("seq") % 3 != 0, F.col("sender")), F.lit("other"), F.lit("1")), lambda k, v: v.isNotNull())
     payload = F.when(F.col("seq") % 5 == 0, F.unhex(F.lit("FFFE"))).otherwise(F.encode("payload", "UTF-8"))
-    s, r, p, h = src.grpc(payload, headers)
+    s, r, p, h = src.grpc(payload, F.map_entries(headers))
     return m.select("seq", s, r, p, F.size(h).alias("n_headers"))
 
 
+@query(f"""WITH {MSG} SELECT seq, CASE WHEN seq % 4 = 3 THEN 'unknown' WHEN seq % 4 = 1 THEN 'late' ELSE sender END AS sender, CASE WHEN seq % 4 = 3 THEN 'unknown' ELSE receiver END AS receiver,
+ CASE WHEN seq % 4 = 3 THEN 'x-a2a-protocol=a2a-0.3.0;x-a2a-transport=grpc' ELSE 'x-a2a-protocol=' || CASE WHEN seq % 4 = 2 THEN 'own' ELSE 'a2a-0.3.0' END || ';x-a2a-receiver-agent-id=' || receiver || ';x-a2a-sender-agent-id='
+ || CASE WHEN seq % 4 = 1 THEN 'late' ELSE sender END || ';x-a2a-transport=grpc' END AS headers FROM msg""")
+def grpc_pairs(spark, d):
+    """Metadata as a list of pairs: names that differ in case only (the last counts), a pair that overrides a header of the protocol, and no metadata."""
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    base = [pair("X-A2A-Sender-Agent-Id", F.col("sender")), pair("x-a2a-receiver-agent-id", F.col("receiver")), pair("kind", F.col("event_type"))]
+    kind = F.col("seq") % 4
+    pairs = F.when(kind == 0, F.array(*base)).when(kind == 1, F.array(*base, pair("x-a2a-sender-agent-id", F.lit("late")))).when(kind == 2, F.array(*base, pair("x-a2a-protocol", F.lit("own"))))
+    s, r, _, h = src.grpc(F.encode("payload", "UTF-8"), pairs)
+    return _messages(spark, d).select("seq", s, r, src.listed(h).alias("headers"))
+
+
 @query("""SELECT event_id AS seq, lower(CASE event_type WHEN 'click' THEN 'A2A_Send' WHEN 'error' THEN 'delegate_task' ELSE event_type END) IN
- ('a2a_send', 'a2a_delegate', 'a2a_query', 'a2a_respond', 'agent_send', 'agent_delegate', 'send_to_agent', 'delegate_task') AS carries FROM events""")
+ ('a2a_send', 'a2a_delegate', 'a2a_query', 'a2a_respond', 'agent_send', 'agent_delegate', 'send_to_agent', 'delegate_task', 'signup') AS carries FROM events""")
 def mcp_tool_filter(spark, d):
     e = src.read(spark, d, "events")
     tool = F.when(F.col("event_type") == "click", "A2A_Send").when(F.col("event_type") == "error", "delegate_task").otherwise(F.col("event_type"))
-    return e.select(F.col("event_id").alias("seq"), F.lower(tool).isin(*src.TOOLS).alias("carries"))
+    return e.select(F.col("event_id").alias("seq"), src.carries_messages(tool, ("Signup",)).alias("carries"))
 
 
 @query(f"WITH {MSG} SELECT seq, event_type AS value, CASE WHEN value > 10 THEN 'WARN' ELSE 'ALLOW' END AS verdict FROM msg")

@@ -41,8 +41,24 @@ def _at(v: Column, path: str) -> Column:
     return F.nullif(F.get_json_object(v, path), F.lit(""))
 
 
+#: The protocol header of every envelope.
+PROTOCOL = "a2a-0.3.0"
+
+
+def _headers(*pairs: tuple[Column, Column]) -> Column:
+    """A map of the pairs whose value isn't null; of equal names the last stays."""
+    return last_of(F.filter(F.array(*[F.struct(k.alias("key"), v.alias("value")) for k, v in pairs]), lambda p: p["value"].isNotNull()))
+
+
+def last_of(pairs: Column) -> Column:
+    """A map of (key, value) pairs; of equal keys the last one's value."""
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].alias("value"))))
+
+
 def jsonrpc(raw: Column, sender: str = "unknown", receiver: str = "unknown") -> list[Column]:
-    """sender, receiver, payload, method and parse error of a JSON-RPC envelope."""
+    """sender, receiver, payload, method, parse error and headers of a JSON-RPC envelope. The payload is the text parts and bare strings among the
+    parts; without any, the message as JSON ({} if there is none), or itself where it isn't an object."""
     bad = F.try_parse_json(raw).isNull()
     get = lambda p: F.get_json_object(raw, p)
     ids = lambda side, short, other: F.coalesce(
@@ -51,25 +67,48 @@ def jsonrpc(raw: Column, sender: str = "unknown", receiver: str = "unknown") ->
         _at(raw, f"$.params.message.metadata.{side}_agent_id"),
         F.lit(other),
     )
-    parts = F.from_json(get("$.params.message.parts"), "array<struct<type:string,text:string>>")
-    texts = F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: F.coalesce(p["text"], F.lit("")))
-    payload = F.coalesce(F.when(F.size(texts) > 0, F.array_join(texts, " ")), get("$.params.message"), F.lit(""))
+    parts = F.try_variant_get(F.try_parse_json(get("$.params.message.parts")), "$", "array<variant>")
+    as_object = lambda p: F.try_variant_get(p, "$", "map<string,variant>")
+    of_text = lambda p: F.when(F.try_variant_get(p, "$.type", "string") == "text", F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit("")))
+    text = lambda p: F.when(as_object(p).isNotNull(), of_text(p)).when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string"))
+    texts = F.filter(F.transform(parts, text), lambda t: t.isNotNull())
+    payload = F.coalesce(F.when(F.size(texts) > 0, F.array_join(texts, " ")), get("$.params.message"), F.lit("{}"))
+    lit = F.lit
+    headers = _headers(
+        (lit("x-a2a-method"), F.nullif(get("$.method"), lit(""))), (lit("x-a2a-rpc-id"), F.nullif(F.nullif(get("$.id"), lit("")), lit("0"))), (lit("x-a2a-task-id"), F.nullif(F.nullif(get("$.params.id"), lit("")), lit("0"))),
+        (lit("x-a2a-protocol"), lit(PROTOCOL)), (lit("x-a2a-transport"), lit("json-rpc")),
+    )
     return [
         F.when(bad, F.lit(sender)).otherwise(ids("sender", "from", sender)).alias("sender"),
         F.when(bad, F.lit(receiver)).otherwise(ids("receiver", "to", receiver)).alias("receiver"),
         F.when(bad, raw).otherwise(payload).alias("payload"),
         F.when(~bad, get("$.method")).alias("method"),
         bad.alias("parse_error"),
+        F.when(bad, F.create_map(lit("x-skein-parse-error"), lit("true"))).otherwise(headers).alias("headers"),
     ]
 
 
-def grpc(payload: Column, headers: Column) -> list[Column]:
-    """sender, receiver, payload text (or its size where it isn't UTF-8) and the transport's own headers."""
-    low = F.transform_keys(headers, lambda k, _: F.lower(k))
-    own = F.map_filter(low, lambda k, _: k.startswith("x-a2a-"))
-    pick = lambda k: F.coalesce(F.nullif(low[k], F.lit("")), F.lit("unknown"))
+def grpc(payload: Column, metadata: Column) -> list[Column]:
+    """sender, receiver, payload text (or its size where it isn't UTF-8) and the transport's headers: the protocol's own, then what the metadata
+    names. ``metadata`` is an array of (key, value) pairs (``F.map_entries`` of a map); names count in lower case, and the last of equal ones."""
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    low = F.transform(F.coalesce(metadata, none), lambda p: F.struct(F.lower(p["key"]).alias("key"), p["value"].alias("value")))
+    known = last_of(low)
+    own = F.filter(low, lambda p: p["key"].startswith("x-a2a-"))
+    base = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("x-a2a-protocol", PROTOCOL), ("x-a2a-transport", "grpc"))])
+    pick = lambda k: F.coalesce(known[k], F.lit("unknown"))
     text = F.when(F.is_valid_utf8(payload.cast("string")), payload.cast("string")).otherwise(F.concat(F.lit("<binary:"), F.octet_length(payload).cast("string"), F.lit("bytes>")))
-    return [pick("x-a2a-sender-agent-id").alias("sender"), pick("x-a2a-receiver-agent-id").alias("receiver"), text.alias("payload"), own.alias("headers")]
+    return [pick("x-a2a-sender-agent-id").alias("sender"), pick("x-a2a-receiver-agent-id").alias("receiver"), text.alias("payload"), last_of(F.concat(base, own)).alias("headers")]
+
+
+def listed(headers: Column) -> Column:
+    """A map as text, in order of names."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(headers)), lambda p: F.concat_ws("=", p["key"], p["value"])), ";")
+
+
+def carries_messages(tool: Column, more: tuple[str, ...] = ()) -> Column:
+    """Whether a tool's name is one of those that carry messages, or of ``more``, in any case."""
+    return F.lower(tool).isin(*TOOLS, *[x.lower() for x in more])
 
 
 #: The tool names that carry messages between agents.
