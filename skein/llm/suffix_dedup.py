@@ -6,7 +6,8 @@ choose anchors at equal places, and a window can only repeat where its anchor's
 suffixes at repeated anchors, each with the bytes before it that its windows need, are sorted in each task into a run, and the runs
 are exchanged front-coded: the length of the common prefix with the one before, and the rest. A loser tree merges the runs of a
 bucket with the known common prefixes: an entry is compared from the prefix it shares with the last winner on, never before it.
-Neighbours with a common gram form a group, in which each window is resolved exactly, byte by byte.
+Neighbours with a common gram form a group. How far a window's right part agrees with another's is the least of the common prefixes
+between them, which the merge has found already; its left parts are compared among those that agree on the right.
 
 Positions are bytes of UTF-8; matches never cross documents; strings are judged on the input, not on what is left. Defined cases:
 a null text is empty; texts shorter than ``width`` hold no repeat; repeated rows are documents of their own, so all of a long
@@ -31,7 +32,7 @@ WIDTH = 200
 GRAM = 64
 CHUNK = 1 << 19
 RUN = 50_000  # entries that a task sorts into one run
-PAIRWISE = 12  # distinct contexts of a group that are compared in pairs; more are compared by their windows
+BUCKET_BYTES = 64 << 20  # input for each bucket of grams
 
 
 def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
@@ -251,48 +252,49 @@ def merged(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
 
 
 def resolved(group: list[tuple], width: int) -> Iterator[tuple[int, int, int]]:
-    """(rid, first start, last start) of the windows of a gram's entries that occur twice or more.
+    """(rid, first start, last start) of the windows of a gram's entries that occur twice or more. group: the merge's rows, in order.
 
     A window of entry (suffix and bytes before it, place p) starts d bytes before p, hi <= d <= lo, and is the d bytes before and
-    width - d bytes of the suffix.
+    width - d bytes of the suffix. Two windows agree on the right where no common prefix between them, as the merge gave it, is under
+    width - d: so entries in order fall into runs. Windows of one run whose d bytes before agree are equal.
     """
-    contexts: dict[tuple, list] = {}
-    for _, entry, rid, p, lo, hi in group:
-        contexts.setdefault((entry, lo, hi), []).append((rid, p))
+    contexts: list[tuple] = []  # (common prefix with the one before, bytes before, lo, hi, places); equal neighbours are one
+    last = None
+    for known, entry, rid, p, lo, hi in group:
+        if last == (len(entry), lo, hi) and known == len(entry):
+            contexts[-1][4].append((rid, p))
+        else:
+            contexts.append((known, entry[width - hi :], lo, hi, [(rid, p)]))
+        last = (len(entry), lo, hi)
     if len(contexts) == 1:
-        (_, lo, hi), places = next(iter(contexts.items()))
+        _, _, lo, hi, places = contexts[0]
         if len(places) > 1:
             for rid, p in places:
                 yield rid, p - lo, p - hi
         return
-    keys = list(contexts)
-    split = [(entry[: width - hi], entry[width - hi :]) for entry, _, hi in keys]
-    valid: list[set[int]] = [set(range(hi, lo + 1)) if len(contexts[k]) > 1 else set() for k in keys for _, lo, hi in (k,)]
-    if len(keys) <= PAIRWISE:
-        for i, (_, lo, hi) in enumerate(keys):
-            for j in range(i):
-                right, left = shared_prefix(split[i][0], split[j][0]), shared_prefix(split[i][1], split[j][1])
-                d = range(max(hi, keys[j][2], width - right), min(lo, keys[j][1], left) + 1)
-                valid[i].update(d)
-                valid[j].update(d)
-    else:
-        for d in range(min(k[2] for k in keys), max(k[1] for k in keys) + 1):
-            seen: dict[bytes, int] = {}
-            for i, (_, lo, hi) in enumerate(keys):
-                if hi <= d <= lo:
-                    window = split[i][1][:d] + split[i][0][: width - d]
-                    j = seen.setdefault(window, i)
-                    if j != i:
-                        valid[i].add(d)
-                        valid[j].add(d)
-    for k, ds in zip(keys, valid, strict=True):
-        run: list[int] = []
-        for d in [*sorted(ds), None]:
-            if run and (d is None or d != run[-1] + 1):
-                for rid, p in contexts[k]:
-                    yield rid, p - run[-1], p - run[0]
-                run = []
-            run.append(d)
+    valid: list[list[int]] = [[] for _ in contexts]
+    nearest = 0 if any(len(c[4]) > 1 for c in contexts) else width - max(c[0] for c in contexts[1:])  # under it no two agree on the right
+    for d in range(max(nearest, min(c[3] for c in contexts)), max(c[2] for c in contexts) + 1):
+        seen: dict[bytes, int] = {}
+        found: set[int] = set()
+        for i, (known, before, lo, hi, places) in enumerate(contexts):
+            if known < width - d:
+                seen = {}  # a new run
+            if hi <= d <= lo:
+                j = seen.setdefault(before[:d], i)
+                if j != i:
+                    found |= {i, j}
+                elif len(places) > 1:
+                    found.add(i)
+        for i in found:
+            valid[i].append(d)
+    for ds, (_, _, _, _, places) in zip(valid, contexts, strict=True):
+        begin = 0
+        for i in range(1, len(ds) + 1):
+            if i == len(ds) or ds[i] != ds[i - 1] + 1:
+                for rid, p in places:
+                    yield rid, p - ds[i - 1], p - ds[begin]
+                begin = i
 
 
 def _spans(width: int, gram: int):
@@ -330,7 +332,8 @@ def removed_spans(parts: list[bytes]) -> list[tuple[int, int]]:
 
 def covered(source: DataFrame, width: int, gram: int) -> DataFrame:
     """``source`` (with rid and text) and ``covered``: packed spans of repeated bytes, null for none."""
-    buckets = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET_BYTES), 1 << 20))
     found = source.select("rid", "text").mapInArrow(common.tidy(_anchor_rows(buckets, width, gram)), "bucket long, blob binary")
     marks = found.groupBy("bucket").applyInArrow(_repeated, "rid long, marks binary").groupBy("rid").agg(F.collect_list("marks").alias("marks"))
     runs = source.join(marks, "rid").select("rid", "text", "marks").mapInArrow(common.tidy(_run_rows(buckets, width, gram)), "bucket long, blob binary")
