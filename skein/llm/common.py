@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,15 +22,21 @@ WORD_TABLE = _TABLE.tobytes()
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BINV = np.uint64(pow(int(_B), -1, 1 << 64))
+_OWN: list[str] = []  # the folder of a local session without one
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. A folder of this machine would be none, so there is no other."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a session in local mode, whose one process all is, gets
+    a folder of its own; on a cluster a folder of one machine would be none that executors share, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return found.rstrip("/")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="skein-"))
+    return _OWN[0]
 
 
 def tidy(run):
