@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ def alive_intervals(m: DataFrame, window: float = config.TEAM_WINDOW) -> DataFra
 def teams(pairs: DataFrame) -> DataFrame:
     """gate_id, agent, team: components of the pairs, named by their least agent. Labels spread by joins until none changes; each
     round is cut from its lineage by a checkpoint in the shared folder."""
+    spark = pairs.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))  # local mode: one machine
     both = pairs.select("gate_id", F.col("a").alias("agent"), F.col("b").alias("peer")).unionByName(pairs.select("gate_id", F.col("b").alias("agent"), F.col("a").alias("peer")))
     both = both.checkpoint()
     labels = both.groupBy("gate_id", "agent").agg(F.least("agent", F.min("peer")).alias("team")).checkpoint()
