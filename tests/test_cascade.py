@@ -57,3 +57,17 @@ def test_chains_of_nulls(spark):
     ]
     got = {r.team: (r.n_chains, r.n_deceptive, r.max_length) for r in cascade.chains(spark.createDataFrame(hops, NAMES)).collect()}
     assert got == {"t": (1, 1, 2), None: (0, 0, 0)}
+
+
+def test_cascade_risk_of_a_large_team(spark, tmp_path):
+    """60,000 hops among six agents of one gate."""
+    from pyspark.sql import functions as F
+
+    from skein.plans import catalogue, derived  # noqa: F401
+
+    i = F.col("id")
+    events = spark.range(60_000).select((i * 4).alias("event_id"), F.timestamp_seconds(i * 7).cast("timestamp_ntz").alias("ts"), (i * 31 % 6).alias("user_id"), F.lit("view").alias("event_type"), (i * 37 % 200).cast("double").alias("value"), F.lit("{}").alias("props"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    began = time.time()
+    (got,) = catalogue.QUERIES["cascade_risk"](spark, str(tmp_path)).collect()
+    assert (got.gate_id, got.team) == ("g0", "t0") and 0 < got.risk <= 1 and time.time() - began < 20
